@@ -85,16 +85,24 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and empties itself beyond ``most`` entries."""
+    """A dictionary that computes what it lacks.
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    At ``most`` entries it becomes the old generation and starts anew: what is used again is taken
+    over from there, the rest goes with the next change of generation.
+    """
+
+    def __init__(self, compute: Callable, most: int = 150_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
