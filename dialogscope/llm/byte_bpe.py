@@ -1,12 +1,12 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding by a UTF-8 machine.
 
 Encoding. A sequence of tokens is the encoding of its bytes just when each token encodes to itself
-and each neighbouring pair encodes to that pair. So every prefix of a piece has one last token, and
-reading left to right it is enough to keep, for the places where a later token may still begin,
-the chain of tokens that leads there. A state of the transducer is the last token emitted and the
-bytes read since; reading a byte extends the chains, drops the places from which no vocabulary
-entry can still grow, and emits the tokens that all remaining chains share. Lookahead is bounded
-by the longest entry. States and moves are made when first needed and remembered.
+and each neighbouring pair encodes to that pair. So every beginning of a piece has at most one last
+token, and reading left to right it is enough to keep the places where a token may have begun that
+can still grow: for each, how far it is in the vocabulary's trie and the token before it. That set
+is a state of the transducer. A move says which token ends here, if any; the tokens are emitted once
+every place that is left shares them, at most the longest entry behind. A move is simulated when it
+is first met, and made part of the machine when it is met again.
 
 Decoding. Every token moves the UTF-8 machine from state to state; moves are worked out when first
 needed. Only complete code points leave the decoder, whatever the cuts between chunks.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from dialogscope.llm.common import over_texts
 from dialogscope.llm.pretokens import PartEncoder
 
-#: States of the transducer kept at most; beyond that it is determinised anew.
-MOST_STATES = 150_000
+#: States and moves met once that are kept at most; beyond that it is determinised anew.
+MOST_STATES = 300_000
 #: Ids decoded at a time.
 CHUNK = 65_536
+LIVE = -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,30 +42,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class State:
-    """``live``: for each place of ``pending`` where a token may begin, the tokens up to there."""
-
-    __slots__ = ("final", "last", "live", "moves", "pending")
-
-    def __init__(self, last: int, pending: bytes, live: tuple[tuple[int, tuple[int, ...]], ...]):
-        self.last, self.pending, self.live = last, pending, live
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-        # the tokens of all that is pending, if it can end here
-        self.final = next((chain for place, chain in live if place == len(pending)), None)
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.grows = {t[:k] for t in ranks for k in range(1, len(t))}  # proper beginnings of entries
+        self.size = [0] * (max(self.bytes_of) + 1)
+        self.children: list[dict[int, int]] = [{}]
+        self.token = [-1]
+        for data, i in ranks.items():
+            self.size[i] = len(data)
+            node = 0
+            for byte in data:
+                if byte not in self.children[node]:
+                    self.children[node][byte] = len(self.children)
+                    self.children.append({})
+                    self.token.append(-1)
+                node = self.children[node][byte]
+            self.token[node] = i
+        self.lookahead = 4 * max(self.size)
         self.edges: dict[int, tuple] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.start = self._state(-1, b"", ((0, ()),))
+        self.states: dict[tuple, dict] = {}
+        self.met: set[tuple] = set()
+        self.start = self._state(((0, -1),))
+
+    def _state(self, live: tuple[tuple[int, int], ...]) -> dict:
+        """A state's moves: byte -> (moves of the next state, token that ends there or -1).
+
+        Under LIVE it has the trie node and the token before, for each place where a token may have begun.
+        """
+        return self.states.get(live) or self.states.setdefault(live, {LIVE: live})
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """The definition: join the neighbours of the lowest rank, leftmost first, until none join."""
@@ -93,69 +104,109 @@ class Transducer:
             self.edges[token] = (*sides, len(self.merge(data)) == 1)
         return self.edges[token]
 
-    def _fits(self, before: int, token: int) -> bool:
+    def fits(self, before: int, token: int) -> bool:
         """Whether the two stay apart: nothing joins across their border while either is merged."""
         left, _, alone = self._edge(token)
-        if not alone or before < 0:
-            return alone
-        key = (before, token)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= 400_000:
-                self.pairs.clear()
+        found = alone
+        if alone and before >= 0:
             get = self.ranks.get
-            found = self.pairs[key] = not any(
-                (rank := get(x + y)) is not None and rank < x_ends and rank <= y_ends for x, x_ends in self._edge(before)[1] for y, y_ends in left
-            )
-        return found
-
-    def _state(self, last: int, pending: bytes, live: tuple) -> State:
-        key = (last, pending)
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = State(last, pending, live)
+            for x, x_ends in self._edge(before)[1]:
+                for y, y_ends in left:
+                    rank = get(x + y)
+                    if rank is not None and rank < x_ends and rank <= y_ends:
+                        found = False
+        if len(self.pairs) >= 400_000:
+            self.pairs.clear()
+        self.pairs[before, token] = found
         return found
 
-    def _move(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        pending = s.pending + bytes((byte,))
-        live, ends = [], None
-        for place, chain in s.live:
-            grown = pending[place:]
-            if ends is None:
-                token = self.ranks.get(grown)
-                if token is not None and self._fits(chain[-1] if chain else s.last, token):
-                    ends = (*chain, token)
-            if grown in self.grows:
-                live.append((place, chain))
-        if ends is not None:
-            live.append((len(pending), ends))
-        least = live[0][1] if live else ()  # places rise, and chains with them
-        shared = 0
-        while shared < len(least) and all(chain[shared] == least[shared] for _, chain in live):
-            shared += 1
-        if not shared:
-            return self._state(s.last, pending, tuple(live)), ()
-        out = least[:shared]
-        cut = sum(len(self.bytes_of[t]) for t in out)
-        return self._state(out[-1], pending[cut:], tuple((place - cut, chain[shared:]) for place, chain in live)), out
+    def step(self, live: tuple[tuple[int, int], ...] | list[tuple[int, int]], byte: int) -> tuple[list[tuple[int, int]], int]:
+        """The places that are left after a byte, longest first, and the token that ends with it or -1."""
+        own, out = -1, []
+        children, pairs = self.children, self.pairs
+        for node, before in live:
+            child = children[node].get(byte)
+            if child is not None:
+                if own < 0:
+                    token = self.token[child]
+                    if token >= 0:
+                        fits = pairs.get((before, token))
+                        if fits or fits is None and self.fits(before, token):
+                            own = token
+                if children[child]:
+                    out.append((child, before))
+        if own >= 0:
+            out.append((0, own))
+        return out, own
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to a place, from the token that ends at each place."""
+        chain = []
+        while at:
+            chain.append(ends[at])
+            at -= self.size[ends[at]]
+        return chain[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most_states:
+        state, ends = self.start, [-1]
+        add = ends.append
+        if len(piece) <= self.lookahead:
+            try:
+                for byte in piece:
+                    state, own = state[byte]
+                    add(own)
+                return self._back(ends, len(piece))
+            except KeyError:
+                pass
+        return self._slowly(piece, state, ends)
+
+    def _slowly(self, piece: bytes, state: dict, ends: list[int]) -> list[int]:
+        """From the first move that is missing: simulate it when first met, add it when met again."""
+        live, out = state[LIVE], []
+        for byte in piece[len(ends) - 1 :]:
+            move = state.get(byte) if state else None
+            if move:
+                state, own = move
+                live = state[LIVE]
+            else:
+                met = False
+                if state:
+                    met = (state[LIVE], byte) in self.met
+                    self.met.add((state[LIVE], byte))
+                live, own = self.step(live, byte)
+                if met:
+                    to = self._state(tuple(live))
+                    state[byte] = (to, own)
+                    state = to
+                else:
+                    state = None
+            ends.append(own)
+            if len(ends) > self.lookahead:
+                ends = self._emit(ends, live, out)
+        if len(self.states) + len(self.met) > self.most_states:
             self.reset()
-        out: list[int] = []
-        state = self.start
-        for byte in piece:
-            move = state.moves.get(byte)
-            if move is None:
-                move = state.moves[byte] = self._move(state, byte)
-            state, more = move
-            if more:
-                out += more
-        out += state.final
-        return out
+        return out + self._back(ends, len(ends) - 1)
+
+    def _emit(self, ends: list[int], live: list[tuple[int, int]], out: list[int]) -> list[int]:
+        """Emits what all live places share and gives what is still open, renumbered."""
+        chains = [self._back(ends, len(ends) - 1 - d) for d in self._depths(live)]
+        shared = 0
+        while all(len(c) > shared for c in chains) and len({c[shared] for c in chains}) == 1:
+            shared += 1
+        out += chains[0][:shared]
+        cut = sum(self.size[t] for t in chains[0][:shared])
+        return [-1, *ends[cut + 1 :]]
+
+    def _depths(self, live: list[tuple[int, int]]) -> list[int]:
+        if not hasattr(self, "depth"):
+            self.depth = [0] * len(self.children)
+            for node, below in enumerate(self.children):  # parents come before their children
+                for child in below.values():
+                    self.depth[child] = self.depth[node] + 1
+        return [self.depth[node] for node, _ in live]
 
 
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -243,7 +294,7 @@ def codec(path: str, pattern: str) -> tuple[Callable[[str], bytes], Vocabulary]:
     library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def piece(text: str) -> bytes:
-        return np.array(machine.encode(text.encode()), "<u4").tobytes()
+        return array("I", machine.encode(text.encode())).tobytes()
 
     # the library splits (and so encodes) only the rare texts whose characters engines class differently
     return PartEncoder(pattern, piece, lambda text: np.array(library.encode_ordinary(text), "<u4").tobytes()), Vocabulary(ranks)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -39,8 +40,8 @@ def tokenizer(path: str, pattern: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as bytes, equal to those of the tokenizers library.
 
     The file's merges, when they come in the order of their ids, are ranks: a compiled merger then
-    encodes single matches of the pattern. Any other file, and any text or part that
-    ``PartEncoder`` can't cut safely, is encoded by the library itself. One per Python worker, so
+    encodes single matches of the pattern. Any other file, and any text that ``PartEncoder`` can't
+    cut safely, is encoded by the library itself. One per Python worker, so
     that its memos serve all tasks there.
     """
     import tiktoken
@@ -60,7 +61,7 @@ def tokenizer(path: str, pattern: str) -> Callable[[str], bytes]:
     byte_of = {c: b for b, c in byte_letters().items()}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
     merger = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    parts = PartEncoder(pattern, lambda piece: np.array(merger(piece.encode()), "<u4").tobytes(), whole)
+    parts = PartEncoder(pattern, lambda piece: array("I", merger(piece.encode())).tobytes(), whole)
     return lambda text: whole(text) if any(x in text for x in added) else parts(text)
 
 

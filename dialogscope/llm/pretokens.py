@@ -3,8 +3,8 @@
 A space before a character that isn't white space always begins a match of the public pattern, and
 a match stands unchanged when it stands alone. So a text falls into parts at its spaces, each part
 into matches, and the ids of parts and matches are remembered: words repeat, documents don't.
-Where engines disagree on a character's class (``SAFE`` leaves such characters out), the part, or
-the text if its spaces are concerned, goes to ``whole`` uncut.
+Engines may disagree on a character's class; a text with characters outside ``SAFE``, which leaves
+such characters out, goes to ``whole`` uncut.
 """
 
 from __future__ import annotations
@@ -26,19 +26,28 @@ class PartEncoder:
     ``piece`` gives the ids of one match, ``whole`` those of any text.
     """
 
-    def __init__(self, pattern: str, piece: Callable[[str], bytes], whole: Callable[[str], bytes], most: int = 150_000):
-        find, unsafe = regex.compile(pattern).findall, re.compile(f"[^{SAFE}]").search
-        self.pieces = Memo(piece, most)
+    def __init__(self, pattern: str, piece: Callable[[str], bytes], whole: Callable[[str], bytes], most: int = 300_000):
+        self.find = regex.compile(pattern).findall
+        self.whole, self.piece = whole, piece
+        self.pieces, self.parts = Memo(piece, most // 4), Memo(self._part, most)
+        self.unsafe = re.compile(rf"[^{SAFE}]").search
+        self.awkward = re.compile(r" (?:\s|\Z)").search
 
-        def matches(text: str) -> bytes:
-            return whole(text) if unsafe(text) else b"".join(map(self.pieces.__getitem__, find(text)))
+    def _matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-        self.matches = matches
-        self.parts = Memo(lambda part: matches(" " + part), most)
-        self.awkward = re.compile(rf" (?:\s|\Z|[^{SAFE}])").search
+    def _part(self, part: str) -> bytes:
+        """What follows a space, up to the next one: mostly a word, or a word and a mark."""
+        if part.isalpha():
+            return self.piece(" " + part)
+        if part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.pieces[part[-1]]
+        return self._matches(" " + part)
 
     def __call__(self, text: str) -> bytes:
+        if self.unsafe(text):
+            return self.whole(text)
         if self.awkward(text):
-            return self.matches(text)
+            return self._matches(text)
         first, *rest = text.split(" ")
-        return self.matches(first) + b"".join(map(self.parts.__getitem__, rest))
+        return self._matches(first) + b"".join(map(self.parts.__getitem__, rest))
