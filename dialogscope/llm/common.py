@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; long texts then stay well inside a worker's memory.
-TEXT_BATCH_ROWS = 1000
+#: Bytes in one Arrow batch, so that long texts stay well inside a worker's memory.
+BATCH_BYTES = 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One driver table."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
