@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm import byte_bpe, divergence_rules, kn_quality, line_dedup, packing, partenum, wordpiece
+from dialogscope.llm import byte_bpe, divergence_rules, gated_lm, kn_quality, line_dedup, packing, partenum, wordpiece
 from dialogscope.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_gated_lm": op3_gated_lm,
     "op4_quality_rules": op4_quality_rules,
     "op5_kneser_ney_quality": op5_kneser_ney_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
