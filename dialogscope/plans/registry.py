@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from dialogscope.plans import dialogues, outcomes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**outcomes.QUERIES, **dialogues.QUERIES}
+ORACLE_SQL: dict[str, str] = {**outcomes.ORACLE_SQL, **dialogues.ORACLE_SQL}
+FLAGSHIP = "primary_contrast"
