@@ -104,7 +104,7 @@ def run_id_error(run_id: Column | str) -> Column:
     parts = F.split(run_id, "__")
     return (
         F.when(~F.size(parts).isin(2, 3), "parts")
-        .when(F.try_to_date(parts[0], F.lit("yyyy-MM-dd")).isNull() | ~parts[0].rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
+        .when(F.try_to_date(parts[0], "yyyy-MM-dd").isNull() | ~parts[0].rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
         .when(~parts[1].rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$") | (F.length(parts[1]) > 100), "name")
         .when((F.size(parts) == 3) & ~F.coalesce(F.get(parts, F.lit(2)), F.lit("")).rlike(r"^([2-9]|[1-9]\d+)$"), "ordinal")
     )
