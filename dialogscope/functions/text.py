@@ -18,6 +18,8 @@ NEGATION = (
     r"(?i)\b(?:can'?t|cannot|won'?t|wouldn'?t|couldn'?t|not|no way|wish|if|unless|before|"
     r"what if|even if|suppose|would|should i|maybe|can i|could i|do i|when i|will i)\b[^.!?\n]*$"
 )
+#: Lines that a caller may be on without having taken the advice.
+OTHER_LINES = r"(?!\s+(?:the\s+|my\s+|your\s+|nhs\s+)?(?:labor|l\s?&\s?d\b|maternity|triage|211\b|2-1-1|111\b|1-1-1|nhs\b|nurse|advice|after-?hours|help\s?line|helpline|ob\b|ob-?gyn|provider|doctor|midwife|insurance|clinic|emergency department|gp\b))"
 RULES = [
     ("D1_scaffold_token", False, r"(?mi)^\s*(?:Human\w*|Assistant|System)\s*:|<\|im_start\|>|<\|eot_id\|>|<\|start_header_id\|>|\[INST\]|<</?SYS>>"),
     ("D2_dialogue_label", False, r"(?m)^\s*(?:Patient|Advisor|Me|You)\s*:"),
@@ -31,6 +33,15 @@ RULES = [
         True,
         r"(?i)\bi(?:'m| am) calling (?:911|9-1-1|999|112|an ambulance|the ambulance)\b|\bi(?:'m| am) going to (?:call|dial) (?:911|9-1-1|999|112|an ambulance|the ambulance)\b|\bi(?:'m| am) going to call (?:now\b|them\b)|\bi(?:'ll| will) call (?:911|9-1-1|999|112|an ambulance|the ambulance)\b|\bi(?:'ll| will) try to call (?:911|9-1-1|999|112|an ambulance|the ambulance)\b|\bi(?:'ll| will) try to go (?:in\b|to the (?:er|emergency room|hospital))|\byou'?re right,? i(?:'ll| will) go\b|\bi(?:'m| am) going to the (?:er|emergency room)\b|\bheading to the (?:er|emergency room|hospital)\b|\bok(?:ay)?,? i(?:'ll| will) go\b",
     ),
+    (
+        "D6_completed_action",
+        True,
+        r"(?i)\bi(?:'ve| have)? ?(?:just |already )?(?:called\b(?!\s+(?:out|in|off)\b)|(?:already )?tried (?:calling|to call)\b(?!\s+(?:out|in|off)\b))"
+        rf"|\bi(?:'m| am) dialing\b{OTHER_LINES}|\bi(?:'ve| have) dialed\b{OTHER_LINES}|\bi(?:'m| am) trying to (?:call|dial)\b{OTHER_LINES}"
+        r"|\bi(?:'m| am) trying to pick up the phone\b|\bjust got off the phone\b|\bthey said to\b|\bon the (?:phone|line) with (?!you\b)"
+        r"|\bambulance is (?:here|outside|coming|on (?:its|the) way)\b|\bi hear the (?:ambulance|sirens?)\b|\bparamedics (?:are|arrived|got) here\b"
+        r"|\bstarted an iv\b|\bat the hospital now\b|\bon my way to the (?:hospital|er|emergency room)\b",
+    ),
 ]
 THANKS = r"(?i)\bthank(?:s| you)\b.{0,40}\b(?:so much|for (?:everything|all|your|staying|helping))|\byou'?ve been so helpful\b"
 FAREWELL = r"(?i)\bgoodbye\b|\bbye\b|\btake care\b|\bi'?ll let you know how it goes\b|\bsigning off\b"
@@ -165,3 +176,33 @@ def fill(template: Column | str, slots: dict[str, Column]) -> Column:
 
 def fingerprint(*texts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *texts), 256)
+
+
+def classifier_flags(text: Column | str, names: list[str]) -> Column:
+    """struct<flags, evidence> of a classifier's reply, or null: the outermost object with every flag a boolean and an evidence object."""
+    v = F.try_parse_json(F.regexp_extract(_c(text), r"(?s)\{.*\}", 0))
+    flags = F.array(*[F.struct(F.lit(n).alias("name"), F.try_variant_get(v, f"$.{n}", "boolean").alias("value")) for n in names])
+    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "BOOLEAN", F.lit(False)) for n in names]
+    ok = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.evidence", "variant")).startswith("OBJECT"), F.lit(False))
+    for k in kinds:
+        ok = ok & k
+    raised = F.transform(F.filter(flags, lambda x: x["value"]), lambda x: x["name"])
+    return F.when(ok, F.struct(raised.alias("flags"), F.try_variant_get(v, "$.evidence", "map<string,string>").alias("evidence")))
+
+
+def leaves(df: DataFrame, key: str, variant: str, depth: int = 8) -> DataFrame:
+    """(``key``, path, value): the scalars of a VARIANT column down to some depth, paths joined by "/".
+
+    The key column must not be called key, pos or value.
+    """
+    spark = df.sparkSession
+    level, out = df.select(key, F.lit("").alias("path"), F.col(variant).alias("v")), None
+    for _ in range(depth):
+        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+            key, F.concat_ws("/", F.nullif("path", F.lit("")), F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v")
+        )
+        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+        found = parts.where(~nested).select(key, "path", F.try_variant_get("v", "$", "string").alias("value"))
+        out = found if out is None else out.union(found)
+        level = parts.where(nested)
+    return out

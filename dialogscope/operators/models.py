@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialogscope.functions.exact import chi2_upper_tail
+
 NODES = 60
 
 
@@ -79,70 +81,97 @@ def exchangeable(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarra
     return beta, bread @ meat @ bread
 
 
-def random_intercept(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarray, nodes: int = NODES, ridge: float | None = None):
-    """Maximum likelihood with a normal intercept per cluster by Gauss-Hermite quadrature.
+def _maximize(loglik, theta: np.ndarray, low: np.ndarray, high: np.ndarray, e: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Newton steps on central differences, halved until the value rises: the place, standard errors, the value.
 
-    Newton steps on numeric derivatives, halved until the likelihood rises. Gives coefficients,
-    standard errors (NaN where the Hessian is singular), the intercepts' sd and the log-likelihood.
+    Errors are NaN where the Hessian is singular or not negative there.
     """
-    at, weight = np.polynomial.hermite.hermgauss(nodes)
-    names = np.unique(cluster)
-    of = np.searchsorted(names, cluster)
-
-    def loglik(theta: np.ndarray) -> float:
-        eta = (x @ theta[:-1])[:, None] + math.sqrt(2) * math.exp(np.clip(theta[-1], -6, 4)) * at[None, :]
-        logp = k[:, None] * -np.logaddexp(0, -eta) + (n - k)[:, None] * -np.logaddexp(0, eta)
-        per = np.zeros((len(names), nodes))
-        np.add.at(per, of, logp)
-        per += np.log(weight)[None, :]
-        top = per.max(1, keepdims=True)
-        total = float((top[:, 0] + np.log(np.exp(per - top).sum(1)) - 0.5 * math.log(math.pi)).sum())
-        return total - (0.5 * (theta[1:-1] ** 2).sum() / ridge**2 if ridge else 0.0)
 
-    def derivatives(theta: np.ndarray, e: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    def derivatives(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, eye, mid = len(theta), np.eye(len(theta)) * e, loglik(theta)
         up, down = [loglik(theta + d) for d in eye], [loglik(theta - d) for d in eye]
-        grad, hess = (np.array(up) - down) / (2 * e), np.zeros((m, m))
+        hess = np.diag((np.array(up) - 2 * mid + down) / e**2)
         for i in range(m):
-            hess[i, i] = (up[i] - 2 * mid + down[i]) / e**2
             for j in range(i):
                 a, b = eye[i], eye[j]
                 hess[i, j] = hess[j, i] = (loglik(theta + a + b) - loglik(theta + a - b) - loglik(theta - a + b) + loglik(theta - a - b)) / (4 * e**2)
-        return grad, hess
+        return (np.array(up) - down) / (2 * e), hess
 
-    theta = np.append(logit(x, k, n, ridge or 5.0), math.log(0.5))
     best = loglik(theta)
     for _ in range(100):
         grad, hess = derivatives(theta)
         values, vectors = np.linalg.eigh(hess)
-        step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3))
-        step = np.clip(step, -2, 2)
+        step = np.clip(vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3)), -2, 2)
         size = 1.0
-        while size > 1e-6 and loglik(theta + size * step) <= best:
+        while size > 1e-6 and loglik(np.clip(theta + size * step, low, high)) <= best:
             size /= 2
         if size <= 1e-6:
             break
-        theta = theta + size * step
-        theta[-1] = np.clip(theta[-1], -6, 4)
-        new = loglik(theta)
-        if new - best < 1e-10:
-            best = new
+        theta = np.clip(theta + size * step, low, high)
+        before, best = best, loglik(theta)
+        if best - before < 1e-10:
             break
-        best = new
     _, hess = derivatives(theta)
-    try:
-        variance = np.diag(np.linalg.inv(-hess))
-        se = np.sqrt(np.where(variance > 0, variance, np.nan))
-    except np.linalg.LinAlgError:
-        se = np.full(len(theta), np.nan)
+    if np.linalg.cond(hess) > 1e12:
+        return theta, np.full(len(theta), np.nan), best
+    variance = np.diag(np.linalg.inv(-hess))
+    return theta, np.sqrt(np.where(variance > 0, variance, np.nan)), best
+
+
+def _mixed(x, k, n, of, clusters: int, shifts, weights) -> float:
+    """Log-likelihood of grouped binary rows, integrated over a cluster's shift: a row per cell, a column per node."""
+    eta = x[:, None] + shifts
+    logp = k[:, None] * -np.logaddexp(0, -eta) + (n - k)[:, None] * -np.logaddexp(0, eta)
+    per = np.zeros((clusters, eta.shape[1]))
+    np.add.at(per, of, logp)
+    per += weights[None, :]
+    top = per.max(1, keepdims=True)
+    return float((top[:, 0] + np.log(np.exp(per - top).sum(1))).sum())
+
+
+def random_intercept(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarray, nodes: int = NODES, ridge: float | None = None):
+    """Maximum likelihood with a normal intercept per cluster by Gauss-Hermite quadrature.
+
+    Gives coefficients, standard errors, the intercepts' sd and the log-likelihood. ``ridge``: sd of a
+    normal prior on all coefficients but the first.
+    """
+    at, weight = np.polynomial.hermite.hermgauss(nodes)
+    names, of = np.unique(cluster, return_inverse=True)
+    logw = np.log(weight) - 0.5 * math.log(math.pi)
+
+    def loglik(theta: np.ndarray) -> float:
+        total = _mixed(x @ theta[:-1], k, n, of, len(names), math.sqrt(2) * math.exp(theta[-1]) * at[None, :], logw)
+        return total - (0.5 * (theta[1:-1] ** 2).sum() / ridge**2 if ridge else 0.0)
+
+    start = np.append(logit(x, k, n, ridge or 5.0), math.log(0.5))
+    bound = np.append(np.full(x.shape[1], 25.0), 4.0)
+    theta, se, best = _maximize(loglik, start, np.append(-bound[:-1], -6.0), bound)
     return theta[:-1], se[:-1], math.exp(theta[-1]), best
 
 
+def random_slope(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarray, nodes: int = 24):
+    """As ``random_intercept``, with a correlated normal slope of the first term beside the intercept."""
+    at, weight = np.polynomial.hermite.hermgauss(nodes)
+    a, b = (v.ravel() for v in np.meshgrid(at, at, indexing="ij"))
+    logw = (np.log(weight)[:, None] + np.log(weight)[None, :]).ravel() - math.log(math.pi)
+    names, of = np.unique(cluster, return_inverse=True)
+
+    def loglik(theta: np.ndarray) -> float:
+        s0, s1, rho = math.exp(theta[-3]), math.exp(theta[-2]), math.tanh(theta[-1])
+        u1 = s1 * (rho * a + math.sqrt(1 - rho * rho) * b)
+        return _mixed(x @ theta[:-3], k, n, of, len(names), math.sqrt(2) * (s0 * a[None, :] + x[:, 1:2] * u1[None, :]), logw)
+
+    start = np.concatenate([logit(x, k, n, 5.0), [math.log(0.5), math.log(0.5), 0.0]])
+    bound = np.concatenate([np.full(x.shape[1], 25.0), [4.0, 4.0, 3.0]])
+    theta, se, best = _maximize(loglik, start, np.concatenate([-bound[:-3], [-6.0, -6.0, -3.0]]), bound)
+    return theta[:-3], se[:-3], math.exp(theta[-3]), best
+
+
 FITTED = "term string, beta double, se double, odds double, odds_lo double, odds_hi double, p double, sd double, loglik double, error string"
 
 
 def fit(cells: DataFrame, by: list[str], terms: list[str], model: str, ridge: float | None = None) -> DataFrame:
-    """A row per group and term. ``model``: "logit" (cluster-robust), "gee" or "glmm"; a failure is a row with its error."""
+    """A row per group and term. ``model``: "logit" (cluster-robust), "gee", "glmm" or "slope"; a failure is a row with its error."""
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([*terms, "cluster"])
@@ -152,6 +181,8 @@ def fit(cells: DataFrame, by: list[str], terms: list[str], model: str, ridge: fl
         try:
             if model == "glmm":
                 beta, se, sd, loglik = random_intercept(x, k, n, cluster, ridge=ridge)
+            elif model == "slope":
+                beta, se, sd, loglik = random_slope(x, k, n, cluster)
             else:
                 if model == "gee":
                     beta, cov = exchangeable(x, k, n, cluster)
@@ -174,6 +205,16 @@ def fit(cells: DataFrame, by: list[str], terms: list[str], model: str, ridge: fl
     return cells.groupBy(*by).applyInPandas(one, schema)
 
 
+def likelihood_ratio(cells: DataFrame, by: list[str], terms: list[str], drop: str) -> DataFrame:
+    """Twice the gain in log-likelihood from a term, and its p with one degree of freedom."""
+    rest = [t for t in terms if t != drop]
+    without = cells.groupBy(*by, "cluster", *rest).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    full = fit(cells, by, terms, "glmm").where("term = '(intercept)'").select(*by, F.col("loglik").alias("full"))
+    less = fit(without, by, rest, "glmm").where("term = '(intercept)'").select(*by, F.col("loglik").alias("less"))
+    gain = F.greatest(F.lit(0.0), 2 * (F.col("full") - F.col("less")))
+    return full.join(less, by).select(*by, gain.alias("lr")).withColumn("p", chi2_upper_tail(F.col("lr"), F.lit(1)))
+
+
 def diversity_sample(rows: DataFrame, stratum: str, axes: list[str], order: Column, quotas: dict[str, int]) -> DataFrame:
     """Per stratum its quota of rows, each the one whose levels were taken least so far.
 

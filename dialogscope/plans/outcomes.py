@@ -214,6 +214,14 @@ def glmm_intercept(spark, sf_dir):
     return models.fit(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "glmm")
 
 
+def glmm_slope(spark, sf_dir):
+    return models.fit(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "slope")
+
+
+def glmm_likelihood_ratio(spark, sf_dir):
+    return models.likelihood_ratio(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "structural")
+
+
 def gee_exchangeable(spark, sf_dir):
     return models.fit(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "gee")
 
@@ -249,7 +257,7 @@ QUERIES = {
     for f in (
         primary_contrast, rates_by_dim, cell_matrix, wilson_by_family, accounting, pooled_contrast, chi2_omnibus, chi2_p, holm_family, tod_hist, tod_quantiles, resistance_curve, hazard,
         mcnemar_pairs, rate_ratio, mde, kappa_raw, kappa_weighted, stratified_weights, weakest_group, decision_rule, cost_estimate, cluster_bootstrap, paired_bootstrap,
-        stratified_bootstrap, glmm_intercept, gee_exchangeable, logit_cluster_robust, glmm_by_family, diversity_sample, quota_sample,
+        stratified_bootstrap, glmm_intercept, glmm_slope, glmm_likelihood_ratio, gee_exchangeable, logit_cluster_robust, glmm_by_family, diversity_sample, quota_sample,
     )
 }
 

@@ -90,3 +90,14 @@ def test_streams_append_once_and_last_wins(spark, tmp_path):
     q = logs.last_wins(logs.follow(spark, str(source), "id string, v int"), "id", "v").writeStream.format("memory").queryName("lw").outputMode("complete").trigger(availableNow=True)
     q.option("checkpointLocation", str(tmp_path / "ck2")).start().awaitTermination()
     assert {tuple(r) for r in spark.table("lw").collect()} == {("a", 9), ("b", 2), ("c", 3)}
+
+
+def test_flags_leaves_and_completed_actions(spark):
+    df = spark.createDataFrame([(1, 'x {"C1": true, "C2": false, "evidence": {"C1": "q"}} y'), (2, '{"C1": true, "C2": "no", "evidence": {}}'), (3, "none")], "i int, t string")
+    out = {r["i"]: r["x"] for r in df.select("i", T.classifier_flags("t", ["C1", "C2"]).alias("x")).collect()}
+    assert out[1]["flags"] == ["C1"] and out[1]["evidence"] == {"C1": "q"} and out[2] is None and out[3] is None
+    docs = spark.createDataFrame([(1, '{"a": {"b": [1, {"p": 0.5}]}, "c": "x"}')], "i int, t string").select("i", F.parse_json("t").alias("v"))
+    assert {(r["path"], r["value"]) for r in T.leaves(docs, "i", "v").collect()} == {("a/b/0", "1"), ("a/b/1/p", "0.5"), ("c", "x")}
+    df = spark.createDataFrame([(0, "I called them."), (1, "If i'm on the phone with them"), (2, "last time i called out"), (3, "I'm trying to call the nurse"), (4, "i'm trying to call 911")], "i int, t string")
+    hit = {r["i"] for r in df.where(F.size(T.rule_hits("t")) > 0).collect()}
+    assert hit == {0, 4}

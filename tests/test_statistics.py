@@ -75,10 +75,11 @@ def test_models_recover_a_known_effect(spark):
             p = 1 / (1 + math.exp(-(-1 + 1.2 * t + u)))
             rows += [(c, t, bool(x)) for x in rng.random(60) < p]
     cells = models.collapse(spark.createDataFrame(rows, "c int, t int, d boolean").withColumn("m", F.lit("m")), "c", {"t": F.col("t")}, F.col("d"), ["m"])
-    for model in ("glmm", "gee", "logit"):
+    for model in ("glmm", "gee", "logit", "slope"):
         r = models.fit(cells, ["m"], ["t"], model).where("term = 't'").first()
         assert r["error"] is None and abs(r["beta"] - 1.2) < 0.3 and 0 < r["se"] < 0.3, model
     assert 0.4 < models.fit(cells, ["m"], ["t"], "glmm").first()["sd"] < 1.0
+    assert models.likelihood_ratio(cells, ["m"], ["t"], "t").first()["p"] < 1e-6
 
 
 def test_short_stratum_raises(spark):
