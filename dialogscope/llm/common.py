@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,10 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder (compressed, column-pruned).
 
-    The table goes when the Python driver ends.
+    The table goes when the Python driver ends. The shuffle files behind it aren't wanted any more:
+    a collection on the driver lets Spark's cleaner delete them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
 
     def remove() -> None:
@@ -56,7 +59,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -12,9 +12,10 @@ those as well.
 
 1. Every task emits (signature, document) once for equal sets that it sees; sorted by signature,
    what stands alone goes. Equal sets are one node from there on.
-2. Each group with a signature gives pairs with its first node only, which are verified exactly.
+2. Each group with a signature gives pairs with one node only, which are verified exactly; after that, groups
+   that hold several components do so once more with a node of another component.
 3. Links make components. Groups that still hold several components give the pairs across them
-   that a bound on the difference (counts of shingles in 64 cells) doesn't rule out; those are verified,
+   that a bound on the difference (counts of shingles in cells) doesn't rule out; those are verified,
    and the components are final: pairs that weren't verified lie inside one component.
 
 Defined results: a null, empty or blank text has an empty set (n_shingles 0), its own component and
@@ -40,8 +41,13 @@ from dialogscope.llm.common import Memo, connected, over_texts, run_bounds, stor
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-CELLS = 64
+#: Counts of shingles per document that bound differences from below; a byte each.
+CELLS = 256
 SEEN = 200_000
+#: Pairs that a task bounds at a time.
+PAIRS = 20_000
+#: Rounds of pairs with one node of each group, before all pairs across components.
+ROUNDS = 1
 
 _U = np.uint64
 _WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 300_000)
@@ -98,7 +104,7 @@ def partitions_of(instance: int, similarity: int) -> tuple[int, int]:
     if least >= 6:
         for spare in range(least):
             empty = (least + spare) * (1 - (1 - math.exp(-lo / (2 * (least + spare)))) ** 2)
-            if spare >= empty + 2.5 * math.sqrt(empty):
+            if spare >= empty + 0.7 * math.sqrt(empty):
                 break
     return least + spare, spare
 
@@ -207,7 +213,10 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _first_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): the least node of each signature's group with each of the others; ``groups``: sig, id."""
+    """(a, b): the first node of each signature's group with each of the others; ``groups``: sig, id, place.
+
+    First is the node with the least ``place``; pairs come with the smaller id in front.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = lead = None
@@ -223,20 +232,21 @@ def _first_pairs(groups: DataFrame) -> DataFrame:
             sig, lead = sigs[-1], leads[-1]
             other = of != ids
             if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(of[other]), pa.array(ids[other])], ["a", "b"])
+                pairs = np.unique(np.column_stack([np.minimum(of, ids), np.maximum(of, ids)])[other], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return groups.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long").distinct()
+    return groups.repartition("sig").sortWithinPartitions("sig", "place", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, similarity: int) -> np.ndarray:
     """Which pairs can be similar, by sizes and by counts in cells; never rules out a similar pair."""
     fits = 100 * np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b)
-    differ = np.abs(cells_a - cells_b).sum(1)
+    differ = np.abs(cells_a.astype(np.int16) - cells_b).sum(1)
     return fits & ((100 + similarity) * differ <= (100 - similarity) * (n_a + n_b))
 
 
 def _cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, CELLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
 
 def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
@@ -246,12 +256,29 @@ def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
         for table in whole_runs(batches, "sig"):
             sig, ids, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "component", "n"))
             cells, bounds = _cells(table.column("cells")), run_bounds(sig)
+            left, right, held = [], [], 0
+
+            def near() -> Iterator[pa.RecordBatch]:
+                i, j = np.repeat(left, list(map(len, right))), np.concatenate(right)
+                ok = _may_link(n[i], n[j], cells[i], cells[j], similarity)
+                if ok.any():
+                    pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[ok], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                left.clear()
+                right.clear()
+
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 for i in range(lo, hi - 1):
                     rest = np.flatnonzero(comp[i + 1 : hi] != comp[i]) + i + 1
-                    rest = rest[_may_link(n[i], n[rest], cells[i], cells[rest], similarity)]
-                    if len(rest):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[rest])), pa.array(np.maximum(ids[i], ids[rest]))], ["a", "b"])
+                    for at in range(0, len(rest), PAIRS):
+                        left.append(i)
+                        right.append(rest[at : at + PAIRS])
+                        held += len(right[-1])
+                        if held >= PAIRS:
+                            yield from near()
+                            held = 0
+            if left:
+                yield from near()
 
     return groups.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long").distinct()
 
@@ -262,7 +289,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def each():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(utf8(batch.column(1)), words)
-            cells = [np.bincount((s >> _U(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in sets]
+            cells = [np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())],
                 ["id", "n", "shingles", "cells"],
@@ -313,18 +340,35 @@ def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILAR
     same_id = nodes.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
 
     groups = rows.where("n is null").join(nodes.where("n_shingles > 0").select("doc_id", "id").distinct(), "doc_id").select("sig", "id").distinct()
-    several = groups.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+    groups = stored(groups, "all-groups")
+    # signatures with the same nodes say the same: one of them stays
+    several = groups.groupBy("sig").agg(F.count("*").alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]).where("size > 1")
+    several = several.groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")
     groups = stored(groups.join(several, "sig", "left_semi"), "groups")
     wanted = groups.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = stored(_sets(texts, words), "sets")
 
-    pairs = stored(_first_pairs(groups), "pairs")
+    # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
+    place = groups.groupBy("id").agg((-F.count("*")).alias("place"))
+    pairs = stored(_first_pairs(groups.join(place, "id")), "pairs")
     links = stored(_verified(pairs, sets, similarity).union(same_id), "links")
-    found = connected(links)
-    within = groups.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    open_ = within.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    within = within.join(open_, "sig", "left_semi").join(sets.select("id", "n", "cells"), "id")
+
+    def still_open() -> DataFrame:
+        """Groups that hold several components, without the nodes' sets: sig, id, component."""
+        within = groups.join(connected(links), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        open_ = within.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+        return stored(within.join(open_, "sig", "left_semi"), "open-groups")
+
+    for _ in range(ROUNDS):
+        # next, the node of each group with most signatures outside the component that leads in the group
+        within = still_open()
+        leading = within.join(place, "id").groupBy("sig").agg(F.min_by("component", F.struct("place", "id")).alias("leading"))
+        rest = within.join(leading, "sig").join(place, "id").select("sig", "id", F.when(F.col("component") == F.col("leading"), 0).otherwise(F.col("place")).alias("place"))
+        more = stored(_first_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        pairs = pairs.union(more)
+        links = links.union(stored(_verified(more, sets, similarity), "more-links"))
+    within = still_open().join(sets.select("id", "n", "cells"), "id")
     more = stored(_cross_pairs(within, similarity).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     links = links.union(stored(_verified(more, sets, similarity), "cross-links"))
     final = connected(links)
