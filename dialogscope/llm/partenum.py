@@ -68,7 +68,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     flat = np.fromiter(map(_WORD_HASHES.__getitem__, (w for ws in split for w in ws)), _U, int(sizes.sum()))
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(flat), _U)
-        for k in range(words):
+        for k in range(min(words, len(flat))):
             rolled[: len(flat) - k] = rolled[: len(flat) - k] * _U(0x9E3779B97F4A7C15) + flat[k:]
         rolled = mix(rolled)
     out, at = [], 0

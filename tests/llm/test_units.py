@@ -226,6 +226,15 @@ def test_components_equal_brute_force(spark, awkward, empty):
     assert partenum.components(awkward).count() == len(AWKWARD) and partenum.components(empty).count() == 0
 
 
+def test_batches_of_few_words(spark):
+    for n in range(7):
+        for texts in ([b"a b c d e f"[: max(0, 2 * n - 1)]], [b"", *[b"w%d" % k for k in range(n)]]):
+            assert [len(x) for x in partenum.shingle_sets(texts)] == [max(1, len(t.split()) - 4) if t else 0 for t in texts]
+    assert partenum.shingle_sets([b"a b"])[0] == partenum.shingle_sets([b"a b", LONG.encode()])[0]
+    out = partenum.components(frame(spark, [(7, "two words")]).coalesce(1)).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out] == [(7, 1, 7)]
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(6)
     for n in [*range(1, 40), 60, 100, 250, 700]:
