@@ -2,10 +2,12 @@
 
 Markup is stripped into lines, one for each block of text. What is boilerplate by its element, role or
 class (scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader
-comments) leaves a gap of blank lines. So do the borders of an article, while cuts inside an article close
-up. Over windows of ``WINDOW`` lines the lengths of text outside links are summed: where the sum rises over
-the surge level the text surges, where it comes to nothing it dives. The text between the surge and the
-dive that hold most text is the main text; all its lines are kept, whatever their length.
+comments) leaves a gap of blank lines. So do the borders of an article (or main element), while cuts inside
+an article close up. Over windows of ``WINDOW`` lines the lengths of text are summed, outside articles without
+links: where the sum rises over the surge level the text surges, where it comes to nothing it dives. The main
+text is every span from a surge to a dive that lies in an article and, if the span that holds most text lies
+outside, that span with those that only dropped boilerplate parts from it. All lines of a span are kept,
+whatever their length.
 
 Defined results: a null or empty page, or one without text, gives an empty text; elements that are never
 closed end with their parent; repeated rows give a row each; an empty table gives no rows; other columns
@@ -63,9 +65,12 @@ def _dropped(name: str, attributes: str, in_article: bool) -> str | None:
     return "inside" if re.search(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", attributes, re.I) else None
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, characters outside links) of each block; boilerplate and article borders as blank lines."""
-    lines: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters, whether in an article) of each block; characters in links don't count outside articles.
+
+    Boilerplate and article borders are blank lines, the latter marked as in an article.
+    """
+    lines: list[tuple[str, int, bool]] = []
     words: list[str] = []
     linked = 0  # characters of the open line that stand in links
     stack: list[str] = []
@@ -77,14 +82,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         nonlocal linked
         text = " ".join("".join(words).split())
         if text:
-            lines.append((text, max(0, len(text) - linked)))
+            lines.append((text, len(text) if articles else max(0, len(text) - linked), articles > 0))
         words.clear()
         linked = 0
 
-    def gap() -> None:
+    def gap(border: bool = False) -> None:
         end_line()
         if not articles:
-            lines.extend([("", 0)] * WINDOW)
+            lines.extend([("", 0, border)] * WINDOW)
 
     def close(height: int) -> None:
         nonlocal drop_from, links, articles
@@ -97,8 +102,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 if name == "a":
                     links -= 1
                 elif name in ("article", "main"):
+                    end_line()
                     articles -= 1
-                    gap()
+                    gap(True)
                 elif name in BLOCKS:
                     end_line()
 
@@ -144,7 +150,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             elif name == "a":
                 links += 1
             elif name in ("article", "main"):
-                gap()
+                gap(True)
                 articles += 1
     close(0)
     end_line()
@@ -153,15 +159,17 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if not any(text for text, _ in lines):
+    if not any(text for text, _, _ in lines):
         return ""
-    own = [n for _, n in lines]
+    own = [n for _, n, _ in lines]
     if not any(own):
-        own = [len(text) for text, _ in lines]
+        own = [len(text) for text, _, _ in lines]
     blank = [0] * WINDOW
     sums = [sum(own[i : i + WINDOW]) for i in range(len(own))]
     surge = min(SURGE, max(sums) / 2)
-    best, at = (0, 0, 0), 0
+    at = 0
+    inside: list[tuple[int, int]] = []  # spans in articles, and those outside by what parts them
+    outside: list[list[tuple[int, int]]] = []
     padded = own + blank
     while at < len(own):
         if sums[at] < surge or not own[at]:
@@ -173,10 +181,22 @@ def main_text(page: str) -> str:
         first = at
         while first and lines[first - 1][0] and own[first - 1]:
             first -= 1  # the window that surged may begin after a short first line
-        best = max(best, (sum(own[first:dive]), -first, dive))
+        if lines[at][2]:
+            inside.append((first, dive))
+        elif outside and all(n if text else not border for (text, _, border), n in zip(lines[outside[-1][-1][1] : first], own[outside[-1][-1][1] : first], strict=True)):
+            outside[-1].append((first, dive))
+        else:
+            outside.append([(first, dive)])
         at = dive + 1
-    _, first, last = best
-    return " ".join(text for text, _ in lines[-first:last] if text)
+
+    def held(spans: list[tuple[int, int]]) -> int:
+        return max((sum(own[first:last]) for first, last in spans), default=0)
+
+    kept = list(inside)
+    best = max(outside, key=held, default=[])
+    if held(best) > held(inside):
+        kept.append((best[0][0], best[-1][1]))
+    return " ".join(text for first, last in sorted(kept) for text, _, _ in lines[first:last] if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

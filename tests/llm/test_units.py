@@ -339,3 +339,19 @@ def test_main_text(spark):
     out = {r["page_id"]: r["text"] for r in html_blocks.extract(df).collect()}
     assert out[1] == f"Head {text} Short. {text}" and out[2] == out[3] == out[7] == "" and out[4] == "just a line" and out[5] == text and out[6] == "a < b & c"
     assert html_blocks.extract(df.limit(0)).count() == 0
+
+
+def test_main_text_keeps_linked_lines_and_goes_on_after_asides():
+    a, b = ("The %s paragraph goes on for long enough, with what it says, to be the text of this page by itself." % x for x in ("first", "second"))
+    items = "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(4))
+    links = " ".join(f"Link {k}" for k in range(4))
+    inner = f"<h1><a href=/>A linked heading</a></h1><p>{a}</p><ul>{items}</ul><p>{b}</p><p>{a}</p><ul>{items}</ul>"
+    want = f"A linked heading {a} {links} {b} {a} {links}"
+    for tag in ("article", "main"):
+        assert html_blocks.main_text(f"<body><nav><a href=/>Home</a></nav><ul>{items}</ul><{tag}>{inner}</{tag}><ul>{items}</ul><footer>Foot</footer>") == want
+    assert html_blocks.main_text(f"<main><article><p>{a}</article><aside>{b}</aside><article><p>{b}</article></main>") == f"{a} {b}"
+    assert html_blocks.main_text(f"<article><p>{a}</article><nav>{items}</nav><article><p>{b}{b}</article>") == f"{a} {b}{b}"
+    for cut in ("<aside>Aside, and some more</aside>", f"<nav><ul>{items}</ul></nav>", "<div class=sidebar>Side</div>"):
+        page = f"<body><header>Name</header><p>Tag line</p><nav>{items}</nav><div><h2>Head</h2><p>{a}</p>{cut}<p>Short.</p>{cut}<p>{b}</p></div><footer>Foot</footer><p>Imprint</p>"
+        assert html_blocks.main_text(page) == f"Head {a} Short. {b}"
+    assert html_blocks.main_text(f"<div><p>{a}</p></div><ul>{items}</ul><div><p>{b}{b}</p></div>") == f"{b}{b}"
