@@ -46,11 +46,11 @@ MARGIN = 4.0
 #: A short text's perplexity varies: its threshold is wider by 10 ** (SHORT / sqrt(tokens)).
 SHORT = 2.0
 SHARDS = 8
-#: Languages that are modelled, those with the most trusted documents; ids have 16 bits.
-MOST_LANGUAGES = 4
+#: Keys hold a language's number above two bits for the kind and three ids of 16 bits.
+KIND, LANGUAGE = 48, 50
 FILTER_BITS = 25
 
-BEGIN, END, UNKNOWN, FIRST_WORD = 0, 1, 2, 3  # ids of each language, before those of its words
+BEGIN, END, UNKNOWN, FIRST_WORD = 0, 1, 2, 3  # ids in each language, before those of its words
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -77,42 +77,39 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids by language, consecutive from the language's base."""
+    """Ids of 16 bits in each language; tables have them plus the language's base, so that all differ."""
 
     def __init__(self, rows: list[tuple[str, bytes]]):
-        self.base, self.ids = {}, {}
+        self.number, self.base, self.ids, self.size = {}, {}, {}, 0
         for lang, word in sorted(rows):
-            if lang not in self.base:
-                self.base[lang] = sum(len(v) + FIRST_WORD for v in self.ids.values())
-                self.ids[lang] = {}
+            own = self.ids.setdefault(lang, {})
             if word:
-                own = self.ids[lang]
-                own[word] = self.base[lang] + FIRST_WORD + len(own)
-        self.size = sum(len(v) + FIRST_WORD for v in self.ids.values())
+                own[word] = FIRST_WORD + len(own)
+        for lang, own in self.ids.items():
+            self.number[lang], self.base[lang] = len(self.base), self.size
+            self.size += len(own) + FIRST_WORD
+        if len(self.ids) > 1 << 64 - LANGUAGE or any(len(own) + FIRST_WORD > 1 << 16 for own in self.ids.values()):
+            raise ValueError("more languages, or words in a language, than keys hold")
 
     def text(self, lang: str, text: bytes) -> np.ndarray | None:
         """begin, begin, the words, end; None for a language without a model."""
-        if lang not in self.base:
+        if lang not in self.ids:
             return None
-        base, get = self.base[lang], self.ids[lang].get
-        words, unknown = text.split(), self.base[lang] + UNKNOWN
+        get, words = self.ids[lang].get, text.split()
         out = np.empty(len(words) + 3, np.uint16)
-        out[:2], out[-1] = base + BEGIN, base + END
-        out[2:-1] = [get(w, unknown) for w in words]
+        out[:2], out[-1] = BEGIN, END
+        out[2:-1] = [get(w, UNKNOWN) for w in words]
         return out
 
-    def unknown(self) -> np.ndarray:
-        flags = np.zeros(max(1, self.size), bool)
-        flags[[b + UNKNOWN for b in self.base.values()]] = True
-        return flags
+    def bases(self) -> np.ndarray:
+        return np.array(list(self.base.values()), np.int64)
 
 
 def _trigrams(docs: DataFrame, shared) -> DataFrame:
     """(a, b, c, n) of the training texts, without those whose middle word is unknown."""
 
     def each():
-        vocabulary = shared.value
-        unknown = vocabulary.unknown()
+        vocabulary, bases = shared.value, shared.value.bases()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys = [np.zeros(0, np.uint64)]
@@ -120,10 +117,11 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
                 w = vocabulary.text(lang or "", text)
                 if w is not None:
                     w = w.astype(np.uint64)
-                    key = w[:-2] << np.uint64(32) | w[1:-1] << np.uint64(16) | w[2:]
-                    keys.append(key[~unknown[w[1:-1].astype(np.int64)]])
+                    key = w[:-2] << np.uint64(32) | w[1:-1] << np.uint64(16) | w[2:] | np.uint64(vocabulary.number[lang or ""] << LANGUAGE)
+                    keys.append(key[w[1:-1] != UNKNOWN])
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            parts = [(key >> np.uint64(s) & np.uint64(0xFFFF)).astype(np.int32) for s in (32, 16, 0)]
+            base = bases[(key >> np.uint64(LANGUAGE)).astype(np.int64)]
+            parts = [((key >> np.uint64(s) & np.uint64(0xFFFF)).astype(np.int64) + base).astype(np.int32) for s in (32, 16, 0)]
             return pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
 
         return work
@@ -157,7 +155,7 @@ class Model:
 
 
 def _bit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    key = b.astype(np.uint64) << np.uint64(16) | c.astype(np.uint64)
+    key = b.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)
     return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
@@ -165,13 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     """The model (None without trusted documents) and the trusted documents with their ranks."""
     spark = docs.sparkSession
     good = stored(trusted(docs, labels), "trusted")
-    langs = [r["lang"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    langs = {r["lang"]: r["trained"] for r in good.groupBy("lang").agg((F.min(F.col("held_out").cast("int")) == 0).alias("trained")).collect()}
     if not langs:
         return None, good
-    chosen = good.where((F.col("rank") <= train_docs) & ~F.col("held_out") & F.col("lang").isin(langs))
+    # a language whose trusted documents are all held out is trained on them, and has no threshold
+    good = good.withColumn("held_out", F.col("held_out") & F.col("lang").isin([lang for lang, some in langs.items() if some]))
+    chosen = good.where((F.col("rank") <= train_docs) & ~F.col("held_out"))
     sample = stored(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text"), "training-texts")
     words = _words(sample).where("n >= 2").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    best = words.where(F.col("k") <= vocabulary).select("lang", "word").toArrow()  # bounded by MOST_LANGUAGES x vocabulary
+    best = words.where(F.col("k") <= vocabulary).select("lang", "word").toArrow()  # bounded by languages x vocabulary
     rows = list(zip(best["lang"].to_pylist(), best["word"].to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast(Vocabulary(rows + [(lang, b"") for lang in langs]))
     v = shared.value
@@ -179,10 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     c3 = stored(_trigrams(sample, shared), "trigrams")
     c2 = c3.groupBy("b", "c").agg(F.count("*").alias("n"))
     c2 = stored(c2, "bigrams")
-    lang_of = F.lit(0)
-    for base in sorted(v.base.values()):
-        lang_of = F.when(F.col("c") >= base, F.lit(base)).otherwise(lang_of)
-    c1 = c2.groupBy("c").agg(F.count("*").alias("n")).withColumn("lang", lang_of)
+    bases = v.bases()
+    lang_of = spark.createDataFrame(pa.table({"c": np.arange(v.size, dtype=np.int32), "lang": np.repeat(bases, np.diff([*bases, v.size]))}))
+    c1 = c2.groupBy("c").agg(F.count("*").alias("n")).join(lang_of, "c")
     p1, rest1 = _discounted(c1, ["lang"], "total", "rest")
     p1 = p1.select("c", "share").toArrow()  # a row per word
     rest1 = {r["lang"]: r["rest"] for r in rest1.collect()}
@@ -241,12 +240,14 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     schema = "part int, kind int, docs binary, counts binary, payload binary, lang string"
 
     def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases = shared.value.vocabulary.bases()
         for batch in batches:
             shard = batch.column("shard").to_numpy()
             order = np.argsort(shard, kind="stable")
             cols = {c: batch.column(c).to_numpy()[order] for c in ("kind", "a", "b", "c", "x")}
-            key = cols["a"].astype(np.uint64) << np.uint64(32) | cols["b"].astype(np.uint64) << np.uint64(16) | cols["c"].astype(np.uint64)
-            key |= cols["kind"].astype(np.uint64) << np.uint64(48)
+            number = np.searchsorted(bases, cols["b"], "right") - 1
+            a, b, c = (np.where(cols["kind"] == none, 0, cols[x] - bases[number]).astype(np.uint64) for x, none in (("a", 2), ("b", 0), ("c", 1)))
+            key = number.astype(np.uint64) << np.uint64(LANGUAGE) | cols["kind"].astype(np.uint64) << np.uint64(KIND) | a << np.uint64(32) | b << np.uint64(16) | c
             found, at = np.unique(shard[order], return_index=True)
             for s, lo, hi in zip(found, at, [*at[1:], len(shard)], strict=True):
                 for part in range(int(starts[s]), int(starts[s + 1])):
@@ -260,7 +261,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        v, unknown, bitmap = m.vocabulary, m.vocabulary.unknown(), np.unpackbits(m.bitmap).view(bool)
+        v, bitmap = m.vocabulary, np.unpackbits(m.bitmap).view(bool)
         turn = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -277,14 +278,15 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                 sizes = np.array([len(w) - 2 for _, w in rows], np.int64)
                 a, b, c = (np.concatenate([w[k : len(w) - 2 + k] for _, w in rows]) for k in range(3))
                 owner = np.repeat(np.arange(len(rows)), sizes)
-                local = unknown[b]
-                context, pair = bitmap[_bit(a, b)], bitmap[_bit(b, c)]
+                at_a, at_b, at_c = (x.astype(np.int64) + v.base[lang] for x in (a, b, c))
+                local = b == UNKNOWN
+                context, pair = bitmap[_bit(at_a, at_b)], bitmap[_bit(at_b, at_c)]
                 local |= ~context & ~pair
-                score = np.where(local, m.unigram[c] + np.where(unknown[b], 0.0, m.backoff[b]), 0.0) - np.where(unknown[c], open_word, 0.0)
+                score = np.where(local, m.unigram[at_c] + np.where(b == UNKNOWN, 0.0, m.backoff[at_b]), 0.0) - np.where(c == UNKNOWN, open_word, 0.0)
                 sums = np.bincount(owner, weights=score, minlength=len(rows))
                 yield _row(turn % n_parts, 1, ids.tobytes(), sizes.astype("<i4").tobytes(), sums.tobytes(), lang)
                 away = np.flatnonzero(~local)
-                shard = m.shard_of[b[away]]
+                shard = m.shard_of[at_b[away]]
                 away, shard = away[np.argsort(shard, kind="stable")], np.sort(shard, kind="stable")
                 found, at = np.unique(shard, return_index=True)
                 for s, lo, hi in zip(found, at, [*at[1:], len(shard)], strict=True):
@@ -315,16 +317,17 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                         keys, values = np.append(keys[order], np.uint64((1 << 64) - 1)), np.append(values[order], np.float32(0)).astype(float)
                     a, b, c = np.frombuffer(payload, np.uint16).reshape(3, -1).astype(np.uint64)
                     bigram, abc = b << np.uint64(16) | c, a << np.uint64(32) | b << np.uint64(16)
+                    number, base = m.vocabulary.number[lang], m.vocabulary.base[lang]
 
-                    def find(kind, key):
-                        key = key | np.uint64(kind << 48)
+                    def find(kind, key, number=number):
+                        key = key | np.uint64(number << LANGUAGE | kind << KIND)
                         at = np.searchsorted(keys, key)
                         return keys[at] == key, values[at]
 
                     seen3, x3 = find(3, abc | c)
                     seen2, x2 = find(2, bigram)
                     seen1, x1 = find(1, abc)
-                    lower = np.where(seen2, x2, m.backoff[b.astype(np.int64)] + m.unigram[c.astype(np.int64)])
+                    lower = np.where(seen2, x2, m.backoff[b.astype(np.int64) + base] + m.unigram[c.astype(np.int64) + base])
                     score = np.where(seen3, x3, np.where(seen1, x1, 0.0) + lower)
                     sums, tokens = np.bincount(np.repeat(np.arange(len(ids)), counts), weights=score, minlength=len(ids)), np.zeros(len(ids), np.int64)
                 nulls = ids == -(1 << 63)

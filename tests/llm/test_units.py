@@ -327,6 +327,24 @@ def test_classifier_keeps_clean_and_drops_noise(spark, awkward, empty):
     assert all(r["kept"] for r in kn_quality.classify(awkward, none).collect()) and kn_quality.classify(empty, none).count() == 0
 
 
+def test_classifier_judges_every_language(spark):
+    rng = random.Random(12)
+    docs, langs = [], {}
+    for k, lang in enumerate(["en", "fr", "de", "es", "it", "pt"]):
+        for i in range(60 - 5 * k):
+            at, w = rng.randint(0, 29), []
+            for _ in range(100):
+                w.append(f"{lang}{at}")
+                at = (at * 7 + rng.randint(0, 2)) % 30
+            docs.append((1000 * k + i, " ".join(w)))
+        docs += [(1000 * k + 900 + i, " ".join("z%d" % rng.randint(0, 10**6) for _ in range(100))) for i in range(5)]
+        langs |= {i: lang for i, _ in docs if i // 1000 == k}
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in docs if i % 1000 < 900], "doc_id long, quality int, toxic int")
+    out = kn_quality.classify(frame(spark, docs, langs), labels).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == {i for i, _ in docs if i % 1000 >= 900}
+    assert all(r["n_tokens"] == 101 and r["perplexity"] is not None for r in out) and all(r["perplexity"] < 30 for r in out if r["kept"])
+
+
 # --- pages
 
 
