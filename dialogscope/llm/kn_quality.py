@@ -15,7 +15,7 @@ load on its words asks for, so frequent words don't end in one task. Sums per do
 perplexity.
 
 Verdict. Trusted documents that are held out of training give, for each language, the perplexity at
-``QUANTILE``; a document is kept up to that value times ``MARGIN``, and some more for short texts. A
+``QUANTILE``; a document is kept up to that value, and some more for short texts (``SHORT``). A
 language without such documents has no threshold and keeps everything.
 
 Defined results: a null or empty text has one token, its end; rows that share a doc_id (or have none) are
@@ -42,7 +42,6 @@ OPEN_WORDS = 1e6
 #: One trusted document in so many is never trained on: thresholds come from those.
 HOLD_OUT = 5
 QUANTILE = 0.95
-MARGIN = 4.0
 #: A short text's perplexity varies: its threshold is wider by 10 ** (SHORT / sqrt(tokens)).
 SHORT = 2.0
 SHARDS = 8
@@ -341,7 +340,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return sums.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and kept of every document."""
     model, good = train(docs, labels, train_docs=train_docs)
     if model is None:
@@ -349,7 +348,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS
         return some.select("doc_id", "lang", "n_tokens", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     found = stored(perplexities(docs, model), "perplexities")
     held_out = found.join(good.where("held_out").select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
-    limits = held_out.groupBy("lang").agg((F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin).alias("limit"))
+    limits = held_out.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
     wider = F.pow(F.lit(10.0), SHORT / F.sqrt(F.greatest("n_tokens", F.lit(1))))
     judged = found.join(limits, "lang", "left").withColumn("threshold", F.col("limit") * wider)
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -343,6 +343,13 @@ def test_classifier_judges_every_language(spark):
     out = kn_quality.classify(frame(spark, docs, langs), labels).collect()
     assert {r["doc_id"] for r in out if not r["kept"]} == {i for i, _ in docs if i % 1000 >= 900}
     assert all(r["n_tokens"] == 101 and r["perplexity"] is not None for r in out) and all(r["perplexity"] < 30 for r in out if r["kept"])
+    # the threshold is a held-out document's perplexity, but for the term for short texts
+    judged = frame(spark, docs, langs)
+    held = {(r["lang"], r["doc_id"]) for r in kn_quality.trusted(judged, labels).where("held_out").collect()}
+    for lang in set(langs.values()):
+        own = [r["perplexity"] for r in out if (lang, r["doc_id"]) in held]
+        limits = {round(r["threshold"] / 10 ** (kn_quality.SHORT / r["n_tokens"] ** 0.5), 6) for r in out if r["lang"] == lang}
+        assert len(own) and limits <= {round(x, 6) for x in own} and len(limits) == 1
 
 
 # --- pages
