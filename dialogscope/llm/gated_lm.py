@@ -103,7 +103,7 @@ class Lexicon:
 def unit(lexicon: Lexicon) -> dict[str, np.ndarray]:
     """The network before training: the unigram distribution whatever the state."""
     rng = np.random.default_rng(0)
-    inputs = lexicon.head + 3  # head, known, rare, beginning
+    inputs = lexicon.classes * CLASS_SIZE + 3  # head (padded to full classes, as targets are), known, rare, beginning
     inner = np.full((lexicon.classes, CLASS_SIZE), -30.0)
     for k in range(lexicon.classes):
         own = lexicon.counts[k * CLASS_SIZE : min((k + 1) * CLASS_SIZE, lexicon.head)]

@@ -308,6 +308,14 @@ def test_language_model_is_a_distribution():
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_reads_unseen_words_with_a_small_head():
+    for head in (1, 4, 31, 33):
+        lex = gated_lm.Lexicon(np.arange(head), np.arange(head, 0, -1), int(np.arange(head, 0, -1).sum()), head)
+        p = gated_lm.unit(lex)
+        ids = gated_lm._padded(p, lex, gated_lm._as_inputs(lex, np.array([0, head, head, 0])))
+        assert ids.max() < len(p["x"]) - 1 and np.isfinite(gated_lm.score_texts(p, [ids])).all()
+
+
 def test_classifier_keeps_clean_and_drops_noise(spark, awkward, empty):
     rng = random.Random(10)
     words = [f"w{k}" for k in range(60)]
