@@ -35,6 +35,12 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_sql_is_text():
+    from dialogscope.llm import registry
+
+    assert all(isinstance(x, str) for x in registry.ORACLE_SQL.values()) and set(registry.ORACLE_SQL) < set(registry.QUERIES)
+
+
 # --- rules
 
 
