@@ -138,11 +138,3 @@ def poisson_rate_ratio(a, b, ea, eb):
         return pd.DataFrame(rows, columns=["ratio", "lo", "hi", "p"], dtype=float)
 
     return run(a, b, ea, eb)
-
-
-def detectable_difference(n1, n0, p0):
-    @F.pandas_udf("double")
-    def run(n1: pd.Series, n0: pd.Series, p0: pd.Series) -> pd.Series:
-        return pd.Series([minimum_detectable(int(x), int(y), float(z)) for x, y, z in zip(n1, n0, p0, strict=True)], dtype=float)
-
-    return run(n1, n0, p0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
+#: Fixed value: the 80 % normal quantile.
+Z80 = 0.8416212335729143
 
 
 def _c(x: Column | str | float) -> Column:
@@ -74,6 +76,16 @@ def holm(df: DataFrame, p: str, family: list[str], name: str = "p_holm") -> Data
     return df.withColumn("__step", holm_step(p, family)).withColumn(name, F.max("__step").over(by)).drop("__step")
 
 
+def detectable_difference(n1, n0, p0, power_z: float = Z80) -> Column:
+    """Smallest difference over ``p0`` that groups of these sizes detect (two-sided 5 %, power 80 %): the root of
+    d^2 = z^2 * (p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) with p1 = p0 + d, at most 1 - p0; null where a group is empty."""
+    n1, n0, p0 = _c(n1).cast("double"), _c(n0).cast("double"), _c(p0)
+    zz = (Z95 + power_z) ** 2
+    b = F.try_divide(zz * (1 - 2 * p0), n1)
+    a, c = 1 + F.try_divide(F.lit(zz), n1), zz * p0 * (1 - p0) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))
+    return F.when((n1 > 0) & (n0 > 0), F.least(1 - p0, (b + F.sqrt(b * b + 4 * a * c)) / (2 * a)))
+
+
 def significance(p: Column | str, alpha: float = 0.05) -> Column:
     """"significant", "not-significant" or, for a null, "unavailable"."""
     p = _c(p)

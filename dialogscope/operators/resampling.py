@@ -1,30 +1,63 @@
-"""Bootstraps over sufficient statistics: draws are hashes, so a result depends on the seed alone.
+"""Bootstraps over sufficient statistics: a replicate is a vector of counts, never a list of drawn rows.
 
-numpy's bit streams aren't reproduced; distributions are. Every replicate draws units with replacement
-by ``xxhash64(seed, replicate, draw)``; the collapsed units are few, so they are joined by their number.
+Units are first summed to their sufficient statistics. Where they are few (``FEW_UNITS``, checked), a replicate draws how
+often each of them counts from one multinomial distribution (in a stratum, one each); beyond that, every unit draws its own
+count from a Poisson distribution, for all replicates at once, and the sums are added up. Random numbers depend on the
+seed, the replicate and, for Poisson counts, on a hash of the unit, so a result doesn't depend on partitions. numpy's stream for
+whole arrays isn't reproduced; distributions are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def _numbered(units: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
-    by = Window.partitionBy(*(within or [F.lit(1)])).orderBy(*order)
-    return units.withColumn("__i", F.row_number().over(by) - 1)
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def draws(units: DataFrame, order: list[str], replicates: int, seed: int, stratum: str | None = None) -> DataFrame:
-    """(rep, unit columns): units drawn with replacement, as many as there are, within their stratum."""
-    within = [stratum] if stratum else None
-    numbered = _numbered(units, order, within)
-    size = numbered.groupBy(*([stratum] if stratum else [])).agg(F.count("*").alias("__n"))
-    reps = units.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    plan = reps.crossJoin(F.broadcast(size)).withColumn("__draw", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))  # strata are few
-    parts = [F.lit(seed), F.col("rep"), F.col("__draw"), *([F.col(stratum)] if stratum else [])]
-    plan = plan.withColumn("__i", F.pmod(F.xxhash64(*parts), F.col("__n")).cast("int"))
-    return plan.join(numbered, [*([stratum] if stratum else []), "__i"]).drop("__i", "__n", "__draw")
+#: Units that travel to every task as a matrix of sums.
+FEW_UNITS = 20_000
+
+
+def replicate_sums(units: DataFrame, sums: list[str], key: list[str], replicates: int, seed: int, stratum: str | None = None) -> DataFrame:
+    """rep, (stratum,) and the resampled totals of ``sums``; ``units`` has a row for each unit, named by ``key``."""
+    spark = units.sparkSession
+    kind = f"{stratum} {units.schema[stratum].dataType.simpleString()}, " if stratum else ""
+    schema = "rep long, " + kind + ", ".join(f"{c} double" for c in sums)
+    if units.limit(FEW_UNITS + 1).count() <= FEW_UNITS:
+        # FEW_UNITS rows at most
+        few = units.select(*([stratum] if stratum else []), *key, *[F.col(c).cast("double").alias(c) for c in sums]).orderBy(*([stratum] if stratum else []), *key).toPandas()
+        groups = [(name, g[sums].to_numpy()) for name, g in (few.groupby(stratum, dropna=False, sort=True) if stratum else [(None, few)])]
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for rep in batch["rep"]:
+                    rng = np.random.default_rng((seed, int(rep)))
+                    for name, m in groups:
+                        total = rng.multinomial(len(m), np.full(len(m), 1 / len(m))) @ m if len(m) else np.zeros(len(sums))
+                        rows.append((rep, *([name] if stratum else []), *total))
+                yield pd.DataFrame(rows, columns=["rep", *([stratum] if stratum else []), *sums])
+
+        return spark.range(replicates).select(F.col("id").alias("rep")).mapInPandas(draw, schema)
+
+    def poisson(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict = {}
+        for batch in batches:
+            for name, g in batch.groupby(stratum, dropna=False) if stratum else [(None, batch)]:
+                held = totals.setdefault(name, np.zeros((replicates, len(sums))))
+                for unit, values in zip(g["__unit"], g[sums].to_numpy(float), strict=True):
+                    held += np.random.default_rng((seed, int(unit) & (1 << 63) - 1)).poisson(1.0, replicates)[:, None] * values
+        for name, held in totals.items():
+            out = pd.DataFrame(held, columns=sums)
+            out.insert(0, "rep", np.arange(replicates))
+            if stratum:
+                out.insert(1, stratum, name)
+            yield out
+
+    marked = units.select(F.xxhash64(*key).alias("__unit"), *([stratum] if stratum else []), *[F.col(c).cast("double").alias(c) for c in sums])
+    return marked.mapInPandas(poisson, schema).groupBy("rep", *([stratum] if stratum else [])).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def interval(values: DataFrame, value: str, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -48,26 +81,31 @@ def index_interval(values: DataFrame, value: str, by: list[str] | None = None, l
 def cluster_difference(rows: DataFrame, cluster: str, treated: Column, flag: Column, replicates: int, seed: int = 1) -> DataFrame:
     """Risk difference (treated minus not) with clusters resampled; replicates with an empty arm are skipped."""
     hit = F.coalesce(flag, F.lit(False))
+    names = ["k1", "n1", "k0", "n0"]
     units = rows.groupBy(cluster).agg(
         F.count_if(treated & hit).alias("k1"), F.count_if(treated).alias("n1"), F.count_if(~treated & hit).alias("k0"), F.count_if(~treated).alias("n0")
     )
-    sums = draws(units, [cluster], replicates, seed).groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("k1", "n1", "k0", "n0")])
     rd = F.try_divide("k1", "n1") - F.try_divide("k0", "n0")
-    point = units.agg(*[F.sum(c).alias(c) for c in ("k1", "n1", "k0", "n0")]).select(rd.alias("rd"))
-    return point.crossJoin(interval(sums.select(rd.alias("rd")), "rd"))
+    point = units.agg(*[F.sum(c).alias(c) for c in names]).select(rd.alias("rd"))
+    return point.crossJoin(interval(replicate_sums(units, names, [cluster], replicates, seed).select(rd.alias("rd")), "rd"))  # one row each
+
+
+def stratified_rate(rows: DataFrame, value: str, unit: list[str], replicates: int, seed: int, stratum: str) -> DataFrame:
+    """Interval (by places in the sorted replicates) of each stratum's mean over resampled units."""
+    units = rows.withColumn("__one", F.lit(1.0)).withColumnRenamed(value, "__sum")
+    sums = replicate_sums(units, ["__sum", "__one"], unit, replicates, seed, stratum)
+    return index_interval(sums.withColumn("rate", F.try_divide("__sum", "__one")), "rate", [stratum])
 
 
 def paired_difference(pairs: DataFrame, a: Column, b: Column, replicates: int, seed: int = 2) -> DataFrame:
-    """Difference of two rates over pairs that are resampled whole: the pairs collapse to four cells.
-
-    A replicate draws pair numbers and looks up their cell by cumulative counts.
-    """
-    cells = pairs.groupBy(a.cast("int").alias("a"), b.cast("int").alias("b")).agg(F.count("*").alias("c"))
-    total = Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)  # four rows
-    cells = cells.withColumn("hi", F.sum("c").over(total)).withColumn("lo", F.col("hi") - F.col("c"))
-    n = cells.agg(F.max("hi").alias("n"))
-    reps = pairs.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    plan = reps.crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    plan = plan.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "rep", "draw"), F.col("n")))
-    joined = plan.join(F.broadcast(cells), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))  # one of four cells
-    return interval(joined.groupBy("rep").agg(F.avg(F.col("a") - F.col("b")).alias("d")), "d")
+    """Difference of two rates over pairs that are resampled whole: the pairs collapse to the four cells of a multinomial."""
+    cells = pairs.groupBy(a.cast("int").alias("a"), b.cast("int").alias("b")).agg(F.count("*").alias("c")).where("a is not null and b is not null")
+    four = sorted((r["a"] - r["b"], r["a"], r["c"]) for r in cells.collect())  # four rows
+    counts, effects = np.array([c for *_, c in four], np.int64), np.array([d for d, *_ in four], float)
+    n = int(counts.sum())
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"d": [np.random.default_rng((seed, int(rep))).multinomial(n, counts / n) @ effects / n if n else None for rep in batch["rep"]]}, dtype=float)
+
+    return interval(pairs.sparkSession.range(replicates).select(F.col("id").alias("rep")).mapInPandas(draw, "d double"), "d")

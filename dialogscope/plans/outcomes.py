@@ -151,7 +151,7 @@ def mde(spark, sf_dir):
     g = rates.counts(started(spark, sf_dir), "degraded", "family")
     base = g.where(F.col("family") == CONTROL).select(F.col("k").alias("k0"), F.col("n").alias("n0"))
     pairs = g.where(F.col("family") != CONTROL).crossJoin(F.broadcast(base))
-    return rounded(pairs.select("family", "n", "n0", exact.detectable_difference(F.col("n"), F.col("n0"), I.rate("k0", "n0")).alias("mde")), 6)
+    return rounded(pairs.select("family", "n", "n0", I.detectable_difference("n", "n0", I.rate("k0", "n0")).alias("mde")), 6)
 
 
 def kappa_raw(spark, sf_dir):
@@ -196,13 +196,12 @@ def cluster_bootstrap(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     rows = outcomes(spark, sf_dir)
-    return resampling.paired_difference(rows, F.col("init"), F.col("n_chars") > 2000, 200)
+    return resampling.paired_difference(rows, F.col("init"), F.col("n_chars") > 2000, 20_000)
 
 
 def stratified_bootstrap(spark, sf_dir):
     rows = outcomes(spark, sf_dir).groupBy("family", "cluster").agg(F.avg(F.col("degraded").cast("double")).alias("rate"))
-    d = resampling.draws(rows, ["cluster"], 1000, 3, "family").groupBy("rep", "family").agg(F.avg("rate").alias("rate"))
-    return resampling.index_interval(d, "rate", ["family"])
+    return resampling.stratified_rate(rows, "rate", ["cluster"], 1000, 3, "family")
 
 
 def _cells(spark, sf_dir, by):
@@ -272,6 +271,8 @@ _KAPPA = """t AS (SELECT x, y, sum(w) AS w FROM r GROUP BY x, y), s AS (SELECT s
     px AS (SELECT x AS v, sum(w) AS wx FROM t GROUP BY x), py AS (SELECT y AS v, sum(w) AS wy FROM t GROUP BY y),
     ch AS (SELECT coalesce(sum(wx * wy), 0.0) AS c FROM px JOIN py USING (v)), k AS (SELECT a / w AS po, c / (w * w) AS pe FROM s, ch)
     SELECT round(po, 9) AS agreement, round(pe, 9) AS chance, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 9) AS kappa FROM k"""
+_MDE = """q AS (SELECT *, k0::DOUBLE / n0 AS p0, (1.959963984540054 + 0.8416212335729143) ** 2 AS zz FROM g2), r AS (SELECT *, 1 + zz / n AS a_, zz * (1 - 2 * p0) / n AS b_, zz * p0 * (1 - p0) * (1.0 / n + 1.0 / n0) AS c_ FROM q),
+    d AS (SELECT *, least(1 - p0, (b_ + sqrt(b_ * b_ + 4 * a_ * c_)) / (2 * a_)) AS mde FROM r)"""
 _STRATA = """st AS (SELECT *, CASE WHEN NOT init THEN 'init0' WHEN degraded THEN 'degraded' ELSE 'held_firm' END AS stratum FROM out)"""
 
 ORACLE_SQL = {
@@ -301,6 +302,7 @@ ORACLE_SQL = {
         c AS (SELECT count(*) AS pairs, count(*) FILTER (a > 200000 AND b <= 200000) AS b, count(*) FILTER (a <= 200000 AND b > 200000) AS c FROM o WHERE a IS NOT NULL AND b IS NOT NULL)
         SELECT *, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(least(b, c) + 1),
             lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 6) AS p FROM c""",
+    "mde": f"""WITH {OUT}, {PAIRS}, {_MDE} SELECT family, n, n0, round(mde, 6) AS mde FROM d""",
     "kappa_raw": f"WITH {OUT}, r AS (SELECT init::INT AS x, (n_chars > 2000)::INT AS y, 1.0::DOUBLE AS w FROM out), {_KAPPA}",
     "kappa_weighted": f"""WITH {OUT}, pop AS (SELECT lang AS family, count(*) AS pop FROM documents GROUP BY lang), n AS (SELECT family, count(*) AS n FROM out GROUP BY family),
         r AS (SELECT init::INT AS x, (n_chars > 2000)::INT AS y, pop::DOUBLE / ((SELECT sum(pop) FROM pop) * n) AS w FROM out JOIN pop USING (family) JOIN n USING (family)), {_KAPPA}""",
