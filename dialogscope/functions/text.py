@@ -43,6 +43,9 @@ RULES = [
         r"|\bstarted an iv\b|\bat the hospital now\b|\bon my way to the (?:hospital|er|emergency room)\b",
     ),
 ]
+# A phrase whose pronoun may stand for a line named before it, and the names of such lines.
+PRONOUN_CALL = r"(?i)\bi(?:'m| am) going to call (?:now\b|them\b)"
+LINE_NAMES = r"(?i)\b(?:triage|211|2-1-1|111|1-1-1|nhs|nurse|advice line|after-?hours|help ?line|helpline|labor|l ?& ?d|maternity|ob(?:-?gyn)?\b|provider|doctor(?:'s office)?|midwife|clinic|emergency department|gp)\b"
 THANKS = r"(?i)\bthank(?:s| you)\b.{0,40}\b(?:so much|for (?:everything|all|your|staying|helping))|\byou'?ve been so helpful\b"
 FAREWELL = r"(?i)\bgoodbye\b|\bbye\b|\btake care\b|\bi'?ll let you know how it goes\b|\bsigning off\b"
 REPETITION, REPETITION_WORDS = 0.90, 8
@@ -89,26 +92,38 @@ def thanks_and_farewell(text: Column | str) -> Column:
 
 
 def rule_hits(text: Column | str, rules: list[tuple[str, bool, str]] = RULES) -> Column:
-    """array<struct<rule, evidence>>: each rule's first match that no negation shields."""
+    """array<struct<rule, evidence>>: each rule's first match that neither a negation nor a pronoun's other meaning shields."""
     known = rules
 
     @F.pandas_udf("array<struct<rule string, evidence string>>")
     def run(texts: pd.Series) -> pd.Series:
         compiled, shield = [(r, g, re.compile(p)) for r, g, p in known], re.compile(NEGATION)
+        pronoun, named = re.compile(PRONOUN_CALL), re.compile(LINE_NAMES)
 
         def hits(t: str | None) -> list[dict]:
             out = []
             for rule, shielded, pattern in compiled:
                 for m in pattern.finditer(t or ""):
                     sentence = re.split(r"[.!?\n]", t[: m.start()])[-1]
-                    if not (shielded and shield.search(sentence)):
+                    # a pronoun may stand for a line that the message has named before
+                    elsewhere = rule == "D5_compliance_phrase" and pronoun.match(m[0]) and named.search(t[: m.start()])
+                    if not (elsewhere or shielded and shield.search(sentence)):
                         out.append({"rule": rule, "evidence": m[0]})
                         break
             return out
 
         return texts.map(hits)
 
-    return run(_c(text))
+    # only texts with some rule's pattern leave the JVM
+    none = F.array().cast("array<struct<rule:string,evidence:string>>")
+    some = F.lit(False)
+    for _, _, pattern in known:
+        some = some | _c(text).rlike(pattern)
+    return F.when(F.coalesce(some, F.lit(False)), run(F.when(some, _c(text)))).otherwise(none)
+
+
+#: What normalized messages consist of.
+LETTERS = "abcdefghijklmnopqrstuvwxyz' "
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
@@ -124,12 +139,17 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 def repetitions(messages: DataFrame, key: str, order: str, text: str, threshold: float = REPETITION) -> DataFrame:
     """(key, order): messages of eight words or more that nearly repeat an earlier one of their key.
 
-    Similarity can't reach the threshold unless the lengths are near, so that prunes pairs first.
+    Pairs are pruned first by what bounds the similarity from above: the lengths, and the letters that both have
+    (a match takes a character of each side). Both stay in the JVM, so only near repeats reach difflib.
     """
     m = messages.select(key, order, normalize(text).alias("t"), F.size(words(text)).alias("n")).where(F.col("n") >= REPETITION_WORDS)
     earlier = m.select(key, F.col(order).alias("o2"), F.col("t").alias("t2"))
     short, long_ = F.least(F.length("t"), F.length("t2")), F.greatest(F.length("t"), F.length("t2"))
+    counts = lambda t: F.transform(F.split(F.lit(LETTERS), ""), lambda c: F.length(t) - F.length(F.replace(t, c)))
+    m, earlier = m.withColumn("__c", counts(F.col("t"))), earlier.withColumn("__c2", counts(F.col("t2")))
     pairs = m.join(earlier, key).where((F.col("o2") < F.col(order)) & (2 * short >= threshold * (short + long_)))
+    common = F.aggregate(F.zip_with("__c", "__c2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.where(2 * common >= threshold * (short + long_))
     return pairs.where(similarity("t", "t2") >= threshold).select(key, order).distinct()
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialogscope.plans import dialogues, outcomes
+from dialogscope.plans import batteries, checks, dialogues, outcomes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**outcomes.QUERIES, **dialogues.QUERIES}
-ORACLE_SQL: dict[str, str] = {**outcomes.ORACLE_SQL, **dialogues.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**outcomes.QUERIES, **dialogues.QUERIES, **batteries.QUERIES, **checks.QUERIES}
+ORACLE_SQL: dict[str, str] = {**outcomes.ORACLE_SQL, **dialogues.ORACLE_SQL, **batteries.ORACLE_SQL, **checks.ORACLE_SQL}
 FLAGSHIP = "primary_contrast"
