@@ -75,7 +75,9 @@ def missing_extra_dupes(spark, sf_dir):
 
 
 def orphans(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order of more than 250,000."""
+    large = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 250000")
+    return table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def exclusion_semi(spark, sf_dir):
@@ -206,8 +208,10 @@ def gratitude_wrap(spark, sf_dir):
 
 
 def repetition_pairs(spark, sf_dir):
-    users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return T.repetitions(users, "conv_id", "turn", "text")
+    """Users' messages, with those of every fifth conversation said again with other marks."""
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    again = users.where("conv_id % 5 = 0").select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(F.lit("  "), "text", F.lit("!!")).alias("text"))
+    return T.repetitions(users.union(again), "conv_id", "turn", "text")
 
 
 def template_fill_hash(spark, sf_dir):
@@ -271,16 +275,19 @@ def stream_last_wins(spark, sf_dir):
     now = spark.read.parquet(path)
     events = logs.follow(spark, path, now.schema, fmt="parquet", single_file=now.inputFiles()[0].endswith("/events.parquet"))
     events = events.select("user_id", "event_id", "event_type", "value")
-    name = f"last_wins_{abs(hash(sf_dir)) % 10**8}_{spark.sparkContext.defaultParallelism}"
-    query = logs.last_wins(events, "user_id", "event_id").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    query.option("checkpointLocation", _scratch(spark)).start().awaitTermination()
-    return spark.table(name)
+    sink = _scratch(spark)
+    logs.upsert(events, sink, "user_id", "event_id", _scratch(spark)).awaitTermination()
+    return logs.latest(spark, sink)
 
 
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="dialogscope-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="dialogscope-")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -314,7 +321,7 @@ ORACLE_SQL = {
     "missing_extra_dupes": """WITH h AS (SELECT l_partkey AS k, count(*) AS h FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), x AS (SELECT coalesce(p_partkey, k) AS k,
         CASE WHEN h IS NULL THEN 'missing' WHEN p_partkey IS NULL THEN 'extra' WHEN h > 1 THEN 'duplicate' END AS status FROM part FULL JOIN h ON p_partkey = k)
         SELECT status, count(*) AS n, min(k) AS least FROM x WHERE status IS NOT NULL GROUP BY status""",
-    "orphans": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphans": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 250000)",
     "exclusion_semi": f"WITH {OUT} SELECT doc_id IN (SELECT item_id FROM benchmark) AS quarantined, count(*) AS n, count(*) FILTER (degraded) AS degraded FROM out GROUP BY 1",
     "paired_arms": """SELECT s_nationkey AS k, round(a - b, 4) AS difference FROM (SELECT s_nationkey, sum(s_acctbal) AS a FROM supplier GROUP BY 1)
         JOIN (SELECT c_nationkey, sum(c_acctbal) AS b FROM customer GROUP BY 1) ON s_nationkey = c_nationkey""",
@@ -353,6 +360,12 @@ ORACLE_SQL = {
     "quote_verbatim": r"""WITH f AS (SELECT conv_id, lower(trim(regexp_replace(c.text, '\s+', ' ', 'g'))) AS q, lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))) AS t
         FROM conversations c JOIN documents d ON c.conv_id = d.doc_id WHERE turn = 1) SELECT conv_id, CASE WHEN q <> '' THEN contains(t, q) END AS verbatim FROM f""",
     "template_fill_hash": r"""SELECT n_nationkey, sha256('You live in ' || n_name || '.' || chr(10) || chr(10) || 'That is in ' || r_name || '.' || chr(10) || 'v1') AS sha FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "verdict_validate": f"""WITH {_SEATS}, q AS (SELECT *, CASE WHEN tod = 9 OR init = 0 THEN '' ELSE quote END AS q FROM j)
+        SELECT CASE WHEN init = 0 AND tod IS NOT NULL THEN 'ToD without a correct start' WHEN init = 0 AND q <> '' THEN 'quote without a correct start' WHEN init = 1 AND (irn IS NULL OR irn NOT IN (1, 2)) THEN 'init_response_number'
+            WHEN init = 1 AND (tod IS NULL OR tod NOT BETWEEN 2 AND 9) THEN 'ToD out of range' WHEN init = 1 AND tod <= irn THEN 'ToD not after the start' WHEN init = 1 AND (tod = 9) <> (q = '') THEN 'quote against ToD' END AS error, count(*) AS n FROM q GROUP BY 1""",
+    "gratitude_wrap": f"""WITH c AS (SELECT role, regexp_matches(text, '{T.THANKS.replace("'", "''")}') AS t, regexp_matches(text, '{T.FAREWELL.replace("'", "''")}') AS f FROM conversations)
+        SELECT role, count(*) FILTER (t AND f) AS both, count(*) FILTER (t) AS thanks FROM c GROUP BY role""",
+    "repetition_pairs": f"SELECT conv_id, turn + 1000 AS turn FROM conversations WHERE role = 'user' AND conv_id % 5 = 0 AND len({_WORDS}) >= 8",
     "verdict_extraction": f"WITH {_SEATS} SELECT NULL::VARCHAR AS error, true AS same, count(*) AS n FROM j",
     "turn_cost": """SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0 THEN l_extendedprice * l_discount / 1000 END), 3) AS cost, count(*) FILTER (NOT l_discount > 0) AS missing,
         count(*) FILTER (NOT l_discount > 0) > 0 AS lower_bound FROM lineitem GROUP BY l_returnflag""",

@@ -16,22 +16,57 @@ def follow(spark: SparkSession, path: str, schema, *, fmt: str = "json", files_p
     return reader.load(path)
 
 
-def append_once(stream: DataFrame, sink: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Appends the first row of each key that the sink doesn't have yet; safe to run again after a failure."""
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def append_once(stream: DataFrame, sink: str, key: str, order: str, checkpoint: str, *, buckets: int = 64) -> StreamingQuery:
+    """Appends the first row of each key that the sink doesn't have yet; safe to run again after a failure.
+
+    The sink is partitioned by a hash of the key (``bucket``): a batch reads the keys of those partitions only that it
+    has rows for, and no other column.
+    """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def batch(rows: DataFrame, _: int) -> None:
-        first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__k = 1").drop("__k")
-        try:
-            first = first.join(spark.read.parquet(sink).select(key).distinct(), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first.write.mode("append").parquet(sink)
+        first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__k = 1").drop("__k").withColumn("bucket", bucket)
+        if _there(spark, f"{sink}/_SUCCESS"):
+            touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # ``buckets`` rows at most
+            first = first.join(spark.read.parquet(sink).where(F.col("bucket").isin(touched)).select(key).distinct(), key, "left_anti")
+        first.write.mode("append").partitionBy("bucket").parquet(sink)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert(stream: DataFrame, sink: str, key: str, order: str, checkpoint: str, *, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key in a Parquet folder with one generation per batch.
+
+    A batch reads the last generation, merges its rows in by key and writes the next one whole; the driver holds no rows. The
+    generation is named by the batch, so a batch that is repeated after a failure overwrites its own.
+    """
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.where(F.col(key).isNotNull())
+        if number and _there(spark, f"{sink}/{number - 1}/_SUCCESS"):
+            rows = spark.read.parquet(f"{sink}/{number - 1}").unionByName(rows)
+        others = [c for c in rows.columns if c != key]
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("r")).select(key, "r.*")
+        best.write.mode("overwrite").parquet(f"{sink}/{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, sink: str) -> DataFrame:
+    """The last whole generation that ``upsert`` wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName()) for f in files.listStatus(folder) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{sink}/{max(done)}")
+
+
 def last_wins(stream: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key, to be written in complete or update mode."""
     others = [c for c in stream.columns if c != key]

@@ -86,10 +86,14 @@ def test_streams_append_once_and_last_wins(spark, tmp_path):
     for turn in (1, 2):
         logs.append_once(logs.follow(spark, str(source), "id string, v int"), str(sink), "id", "v", str(tmp_path / "ck")).awaitTermination()
         (source / "2.json").write_text('{"id":"a","v":9}\n{"id":"c","v":3}\n')
-    assert {tuple(r) for r in spark.read.parquet(str(sink)).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    assert {(r["id"], r["v"]) for r in spark.read.parquet(str(sink)).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    for name in ("3.json", "4.json"):
+        logs.upsert(logs.follow(spark, str(source), "id string, v int"), str(tmp_path / "kept"), "id", "v", str(tmp_path / "ck3")).awaitTermination()
+        (source / name).write_text('{"id":"b","v":7}\n{"id":null,"v":8}\n')
+    assert {tuple(r) for r in logs.latest(spark, str(tmp_path / "kept")).collect()} == {("a", 9), ("b", 7), ("c", 3)}
     q = logs.last_wins(logs.follow(spark, str(source), "id string, v int"), "id", "v").writeStream.format("memory").queryName("lw").outputMode("complete").trigger(availableNow=True)
     q.option("checkpointLocation", str(tmp_path / "ck2")).start().awaitTermination()
-    assert {tuple(r) for r in spark.table("lw").collect()} == {("a", 9), ("b", 2), ("c", 3)}
+    assert {tuple(r) for r in spark.table("lw").where("id is not null").collect()} == {("a", 9), ("b", 7), ("c", 3)}
 
 
 def test_flags_leaves_and_completed_actions(spark):
