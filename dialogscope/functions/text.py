@@ -81,6 +81,18 @@ def shingles(text: Column | str, n: int = SHINGLE) -> Column:
     return F.get(F.transform(F.array(words(text)), runs), F.lit(0))
 
 
+def shared_shingles(rows: DataFrame, key: str, text: str, items: DataFrame) -> DataFrame:
+    """key, n, evidence: how many shingles of ``items`` each row has, and the first of them in order.
+
+    Hashes of 8 bytes meet first; only rows with a hit give their strings, which decide.
+    """
+    hashes = lambda: F.explode(F.transform(shingles(text), lambda s: F.xxhash64(s))).alias("h")
+    near = rows.select(key, hashes()).join(items.select(hashes()).distinct(), "h").select(key).distinct()
+    have = rows.join(near, key, "left_semi").select(key, F.explode(shingles(text)).alias("s"))
+    known = items.select(F.explode(shingles(text)).alias("s")).distinct()
+    return have.join(known, "s").groupBy(key).agg(F.count("*").alias("n"), F.min("s").alias("evidence"))
+
+
 def quote_verbatim(quote: Column | str, text: Column | str) -> Column:
     """Whether the quote stands in the text, both folded; null for an empty quote."""
     q = folded(quote)

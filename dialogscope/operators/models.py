@@ -215,13 +215,21 @@ def likelihood_ratio(cells: DataFrame, by: list[str], terms: list[str], drop: st
     return full.join(less, by).select(*by, gain.alias("lr")).withColumn("p", chi2_upper_tail(F.col("lr"), F.lit(1)))
 
 
+#: Rows among which a diversity sample is chosen in one task.
+MOST_CHOICES = 1_000_000
+
+
 def diversity_sample(rows: DataFrame, stratum: str, axes: list[str], order: Column, quotas: dict[str, int]) -> DataFrame:
     """Per stratum its quota of rows, each the one whose levels were taken least so far.
 
     Choosing is sequential, but only ever among combinations of levels: each keeps its first rows in
-    the given order, up to the quota, so one small group reaches the task that chooses.
+    the given order, up to the quota, so one small group reaches the task that chooses. That group has at most
+    combinations x quota rows; beyond ``MOST_CHOICES`` the axes are too fine for this, and that is an error.
     """
     most = max(quotas.values())
+    combinations = rows.where(F.col(stratum).isin(*quotas)).select(stratum, *axes).distinct().limit(MOST_CHOICES // most + 1).count()
+    if combinations * most > MOST_CHOICES:
+        raise ValueError(f"more than {MOST_CHOICES} rows to choose from: the axes have too many levels")
     few = rows.withColumn("__o", order)
     few = few.withColumn("__r", F.row_number().over(Window.partitionBy(stratum, *axes).orderBy("__o"))).where(F.col("__r") <= most)
 

@@ -180,9 +180,7 @@ def round_robin_sample(spark, sf_dir):
 
 def shingle_overlap(spark, sf_dir):
     """Eight-word shingles that documents share with benchmark items."""
-    known = table(spark, sf_dir, "benchmark").select(F.explode(T.shingles("text")).alias("s")).distinct()
-    have = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.shingles("text")).alias("s"))
-    return have.join(known, "s").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("s").alias("evidence"))
+    return T.shared_shingles(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"))
 
 
 def normalize_text(spark, sf_dir):
