@@ -5,7 +5,7 @@ Training. Trusted documents (label quality 1, not toxic) of each language, at mo
 independent of the corpus. Words are ``[^\\x20\\x09-\\x0D]+`` as written; the ``VOCABULARY`` commonest of a
 language seen twice or more have ids, the others are one unknown word whose spelling costs
 ``OPEN_WORDS``. Counts, continuation counts, discounts and back-off weights are Spark aggregations; a
-word after an unknown word is scored by the lowest order.
+word after an unknown word is scored by the lowest order, and a context that begins with one has no counts of its own.
 
 Scoring. The counts are dealt into shards by the middle word of a trigram: it decides about the
 trigram, its context and the bigram. Every task turns its documents into ids, scores on the spot what
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import over_texts, partitions, stored, utf8
+from dialogscope.llm.common import over_texts, scratch, slices, stored, utf8
 
 TRAIN_DOCS = 700
 VOCABULARY = 15_000
@@ -45,6 +45,8 @@ QUANTILE = 0.95
 #: A short text's perplexity varies: its threshold is wider by 10 ** (SHORT / sqrt(tokens)).
 SHORT = 2.0
 SHARDS = 8
+#: Bytes of texts whose trigrams come to one task, about; each has a copy of its shard's counts.
+PART_BYTES = 24_000_000
 #: Keys hold a language's number above two bits for the kind and three ids of 16 bits.
 KIND, LANGUAGE = 48, 50
 FILTER_BITS = 25
@@ -53,11 +55,10 @@ BEGIN, END, UNKNOWN, FIRST_WORD = 0, 1, 2, 3  # ids in each language, before tho
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Trusted documents, whether they are held out, and their rank in the language by a hash."""
+    """Trusted documents (doc_id, lang) and whether they are held out."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     found = docs.join(good, "doc_id", "left_semi").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
-    found = found.withColumn("held_out", F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HOLD_OUT)) == 0)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "held_out").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    return found.withColumn("held_out", F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HOLD_OUT)) == 0)
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ class Vocabulary:
 
 
 def _trigrams(docs: DataFrame, shared) -> DataFrame:
-    """(a, b, c, n) of the training texts, without those whose middle word is unknown."""
+    """(a, b, c, n) of the training texts, without those whose middle word is unknown; ``known``: whether the first is not."""
 
     def each():
         vocabulary, bases = shared.value, shared.value.bases()
@@ -120,12 +121,13 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
                     keys.append(key[w[1:-1] != UNKNOWN])
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             base = bases[(key >> np.uint64(LANGUAGE)).astype(np.int64)]
+            known = (key >> np.uint64(32) & np.uint64(0xFFFF)) != UNKNOWN
             parts = [((key >> np.uint64(s) & np.uint64(0xFFFF)).astype(np.int64) + base).astype(np.int32) for s in (32, 16, 0)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(n.astype(np.int64)), pa.array(known)], ["a", "b", "c", "n", "known"])
 
         return work
 
-    return over_texts(docs, ["lang", "text"], "a int, b int, c int, n long", each).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    return over_texts(docs, ["lang", "text"], "a int, b int, c int, n long, known boolean", each).groupBy("a", "b", "c", "known").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -158,8 +160,14 @@ def _bit(b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _marked(bitmap: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the bits of these bigrams are set; the bitmap stays packed."""
+    at = _bit(b, c)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY, shards: int = SHARDS) -> tuple[Model | None, DataFrame]:
-    """The model (None without trusted documents) and the trusted documents with their ranks."""
+    """The model (None without trusted documents) and the trusted documents with what is held out."""
     spark = docs.sparkSession
     good = stored(trusted(docs, labels), "trusted")
     langs = {r["lang"]: r["trained"] for r in good.groupBy("lang").agg((F.min(F.col("held_out").cast("int")) == 0).alias("trained")).collect()}
@@ -167,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
         return None, good
     # a language whose trusted documents are all held out is trained on them, and has no threshold
     good = good.withColumn("held_out", F.col("held_out") & F.col("lang").isin([lang for lang, some in langs.items() if some]))
-    chosen = good.where((F.col("rank") <= train_docs) & ~F.col("held_out"))
+    # the limit on the rank goes into the window: every task keeps its first ones of a language before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = good.where(~F.col("held_out")).withColumn("rank", rank).where(F.col("rank") <= train_docs)
     sample = stored(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text"), "training-texts")
     words = _words(sample).where("n >= 2").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     best = words.where(F.col("k") <= vocabulary).select("lang", "word").toArrow()  # bounded by languages x vocabulary
@@ -178,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     c3 = stored(_trigrams(sample, shared), "trigrams")
     c2 = c3.groupBy("b", "c").agg(F.count("*").alias("n"))
     c2 = stored(c2, "bigrams")
+    c3 = c3.where("known").drop("known")
     bases = v.bases()
     lang_of = spark.createDataFrame(pa.table({"c": np.arange(v.size, dtype=np.int32), "lang": np.repeat(bases, np.diff([*bases, v.size]))}))
     c1 = c2.groupBy("c").agg(F.count("*").alias("n")).join(lang_of, "c")
@@ -204,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     for b in np.argsort(-load, kind="stable"):
         shard_of[b] = weight.argmin()
         weight[shard_of[b]] += load[b]
-    parts = max(shards, partitions(spark) // 4)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = max(shards, size // PART_BYTES)
     copies = np.maximum(1, np.ceil(weight / max(weight.sum(), 1) * parts)).astype(np.int64)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for part in p2.select("b", "c").coalesce(4).mapInArrow(marked, "bits binary").toArrow()["bits"]:  # 4 MB each
         bitmap |= np.frombuffer(part.as_buffer(), np.uint8)
+    starts = _bit(bases + BEGIN, bases + BEGIN)  # a text's first context, which is no bigram
+    np.bitwise_or.at(bitmap, starts >> 3, (128 >> (starts & 7)).astype(np.uint8))
     lookup = spark.createDataFrame(pa.table({"b": np.arange(len(shard_of), dtype=np.int32), "shard": shard_of.astype(np.int32)}))
     tables = (
         p3.select(F.lit(3).alias("kind"), "a", "b", "c", F.log10("p").alias("x"))
@@ -260,11 +274,9 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        v, bitmap = m.vocabulary, np.unpackbits(m.bitmap).view(bool)
+        v = m.vocabulary
         turn = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             groups: dict[str, list[tuple[int | None, np.ndarray]]] = {}
             for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), utf8(batch.column("text")), strict=True):
                 groups.setdefault(lang or "", []).append((doc_id, v.text(lang or "", text)))
@@ -279,7 +291,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                 owner = np.repeat(np.arange(len(rows)), sizes)
                 at_a, at_b, at_c = (x.astype(np.int64) + v.base[lang] for x in (a, b, c))
                 local = b == UNKNOWN
-                context, pair = bitmap[_bit(at_a, at_b)], bitmap[_bit(at_b, at_c)]
+                context, pair = _marked(m.bitmap, at_a, at_b), _marked(m.bitmap, at_b, at_c)
                 local |= ~context & ~pair
                 score = np.where(local, m.unigram[at_c] + np.where(b == UNKNOWN, 0.0, m.backoff[at_b]), 0.0) - np.where(c == UNKNOWN, open_word, 0.0)
                 sums = np.bincount(owner, weights=score, minlength=len(rows))
@@ -342,13 +354,15 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and kept of every document."""
-    model, good = train(docs, labels, train_docs=train_docs)
-    if model is None:
-        some = docs.groupBy("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).agg(F.lit(0).cast("long").alias("n_tokens"))
-        return some.select("doc_id", "lang", "n_tokens", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    found = stored(perplexities(docs, model), "perplexities")
-    held_out = found.join(good.where("held_out").select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
-    limits = held_out.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
+    with scratch(docs.sparkSession):
+        model, good = train(docs, labels, train_docs=train_docs)
+        if model is None:
+            some = docs.groupBy("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).agg(F.lit(0).cast("long").alias("n_tokens"))
+            return some.select("doc_id", "lang", "n_tokens", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        found = stored(perplexities(docs, model), "perplexities", outlives=1)
+        held_out = found.join(good.where("held_out").select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
+        limits = held_out.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit"))
+        limits = stored(limits, "limits", outlives=1)
     wider = F.pow(F.lit(10.0), SHORT / F.sqrt(F.greatest("n_tokens", F.lit(1))))
     judged = found.join(limits, "lang", "left").withColumn("threshold", F.col("limit") * wider)
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
