@@ -16,7 +16,11 @@ points have none. A key is held as its 128-bit hash.
 
 Defined results: a null or empty text is one empty line and comes back as an empty text; rows that
 share a doc_id count as one document and are cut alike; rows without a doc_id aren't counted and stay
-whole; an empty table gives no rows; other columns stay as they are.
+whole; an empty table gives no rows; other columns stay as they are, but n_lines and n_dropped (in any case of letters)
+are replaced by the result's.
+
+The references that pass a filter are joined with the counts by key; a line of very many documents is one key there,
+whose references Spark's adaptive execution splits among tasks (nothing above the join needs their partitioning).
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from dialogscope.llm.common import over_texts, stored, utf8
 MIN_DOCS = 5
 MIN_CHARS = 40
 SHARDS = 64
+#: Frequent keys in one shard's filter, about: the first documents inserted set the number of shards.
+KEYS_A_SHARD = 500_000
 #: References of one shard that go to one task; shards with more get salts.
 ROWS_A_SALT = 200_000
 SLOTS = 4
@@ -154,7 +160,9 @@ class LineIndex:
         more = new.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
         if self.empty:
             self.refs, counts = new, stored(more, "line-counts")
-            self._refilter(counts.where(F.col("n") >= self.min_docs), None)
+            frequent = counts.where(F.col("n") >= self.min_docs)
+            self.shards = max(self.shards, frequent.count() // KEYS_A_SHARD)
+            self._refilter(frequent, None)
         else:
             counts = self.counts.union(more).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
             self._replace(self.refs.union(new), stored(counts, "line-counts"))
@@ -249,16 +257,19 @@ class LineIndex:
         ``refs``: the references of these documents, where they are at hand.
         """
         dropped = self.dropped(line_refs(docs, self.min_chars) if refs is None else refs)
-        dropped = dropped.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
-        joined = docs.join(dropped, "doc_id", "left")
+        fields = [f for f in docs.schema.fields if f.name.lower() not in ("text", "n_lines", "n_dropped")]
+        names = [f.name for f in fields]
+        lines_gone = "gone"
+        while lines_gone in map(str.lower, names):
+            lines_gone += "_"
+        dropped = dropped.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(lines_gone))
+        joined = docs.select(*[F.col(f"`{c}`") for c in names], "text").join(dropped, "doc_id", "left")
         least = self.min_chars
-        names = [c for c in docs.columns if c != "text"]
-        fields = [f for f in docs.schema.fields if f.name != "text"]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string, n_lines long, n_dropped long"])
 
         def each():
             def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-                gone = batch.column("__gone")
+                gone = batch.column(lines_gone)
                 texts, lines, drops = [], [], []
                 for i, text in enumerate(utf8(batch.column("text"))):
                     parts = text.split(b"\n")
@@ -269,12 +280,12 @@ class LineIndex:
                         text = b"\n".join(parts)
                     texts.append(text)
                     drops.append(lines[-1] - len(parts))
-                columns = [batch.column(c) for c in names]
+                columns = [batch.column(i) for i in range(len(names))]
                 return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(drops, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
 
             return work
 
-        return over_texts(joined, [*names, "text", "__gone"], schema, each)
+        return over_texts(joined, [*[f"`{c}`" for c in names], "text", lines_gone], schema, each)
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
