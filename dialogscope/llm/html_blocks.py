@@ -41,6 +41,8 @@ CLASSES = frozenset(
 )
 #: Those of them that stand inside a text as well as around it; where they go, the text closes up.
 INSIDE = frozenset("ad ads adv advert advertisement adsense sponsor sponsored promo promotion newsletter subscribe subscription signup share sharing social widget skip cookie cookies consent notice notices alert popup modal overlay".split())
+#: Words that go with those in names such as "ad-slot" or "related-posts".
+WITH = frozenset("area bar block blocks body bottom box button buttons card cards container content footer form group header holder inline inner item items left link links list main page panel post posts right row section site slot sticky story text title top unit wrap wrapper".split())
 AROUND = frozenset("nav aside footer header head title menu".split())
 #: Elements that an opening tag of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,8 +62,12 @@ def _dropped(name: str, attributes: str, in_article: bool) -> str | None:
         key, value = key.lower(), "".join(values).lower()
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return "around"
-        if key in ("class", "id") and not CLASSES.isdisjoint(words := _WORD.findall(value)):
-            return "around" if INSIDE.isdisjoint(words) else "inside"
+        if key in ("class", "id"):
+            for one in value.split():
+                words = _WORD.findall(one)
+                # inside an article a name must say nothing else: "social-share" goes, "social-history" is text
+                if not CLASSES.isdisjoint(words) and not (in_article and set(words) - CLASSES - WITH):
+                    return "around" if INSIDE.isdisjoint(words) else "inside"
     return "inside" if re.search(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", attributes, re.I) else None
 
 
