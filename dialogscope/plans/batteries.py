@@ -15,10 +15,14 @@ from dialogscope.plans.outcomes import _CONTRAST_OUT, _CONTRAST_ROWS, _MDE, _wil
 STRUCTURAL, FEAR, CONTROL = ["de", "fr"], "es", "en"
 PROVIDERS = ["alpha", "beta", "gamma", "delta", "omega"]
 
-family = F.col("family")
-structural, fear, control = family.isin(STRUCTURAL), family == FEAR, family == CONTROL
-flagged, accepted = F.col("n_chars") > 1500, F.col("n_chars") > 3000
-arm = F.when(F.pmod("doc_id", F.lit(3)) == 0, "ctx").otherwise("main")
+class Conditions:
+    """What the cuts of these queries are made of; Columns exist only once there is a session."""
+
+    def __init__(self):
+        self.family = F.col("family")
+        self.structural, self.fear, self.control = self.family.isin(STRUCTURAL), self.family == FEAR, self.family == CONTROL
+        self.flagged, self.accepted = F.col("n_chars") > 1500, F.col("n_chars") > 3000
+        self.arm = F.when(F.pmod("doc_id", F.lit(3)) == 0, "ctx").otherwise("main")
 
 
 def _marked(spark, sf_dir):
@@ -28,28 +32,32 @@ def _marked(spark, sf_dir):
 
 
 def sensitivity(spark, sf_dir):
-    cuts = batteries.sensitivity_cuts(structural, control, STRUCTURAL, "family", quarantined=F.col("quarantined"), accepted=accepted, flagged=flagged, weakest=F.col("weakest"))
+    c = Conditions()
+    cuts = batteries.sensitivity_cuts(c.structural, c.control, STRUCTURAL, "family", quarantined=F.col("quarantined"), accepted=c.accepted, flagged=c.flagged, weakest=F.col("weakest"))
     return rounded(batteries.contrasts(_marked(spark, sf_dir), "degraded", cuts))
 
 
 def advisor_effects(spark, sf_dir):
-    cuts = {"structural_vs_control": (structural, control), "fear_vs_control": (fear, control), "fear_vs_structural": (fear, structural)}
+    c = Conditions()
+    cuts = {"structural_vs_control": (c.structural, c.control), "fear_vs_control": (c.fear, c.control), "fear_vs_structural": (c.fear, c.structural)}
     out = batteries.per_group(started(spark, sf_dir), "degraded", cuts, "cluster")
     return rounded(out.select("test", "cluster", "k", "n", "k0", "n0", "rd", "p", "p_holm"))
 
 
 def cross_arm(spark, sf_dir):
-    rows = outcomes(spark, sf_dir).withColumn("arm", arm)
+    c = Conditions()
+    rows = outcomes(spark, sf_dir).withColumn("arm", c.arm)
     ctx, main = F.col("arm") == "ctx", F.col("arm") == "main"
-    pools = {"any_obstacle": ~control, "structural": structural, "nonstructural": fear, "cooperative": control} | {f: family == f for f in [*STRUCTURAL, FEAR, CONTROL]}
+    pools = {"any_obstacle": ~c.control, "structural": c.structural, "nonstructural": c.fear, "cooperative": c.control} | {f: c.family == f for f in [*STRUCTURAL, FEAR, CONTROL]}
     degraded = batteries.contrasts(rows.where("init"), "degraded", {f"degradation/{k}": (ctx & c, main & c) for k, c in pools.items()})
     init = batteries.contrasts(rows, "init", {"init_correct/all": (ctx, main)})
     return rounded(degraded.union(init).where("n > 0 and n0 > 0"))
 
 
 def flagged_exclusion(spark, sf_dir):
-    cuts = {"structural": (structural, control), "fear": (fear, control), "any_obstacle": (~control, control), "reason": (structural, fear)} | {f: (family == f, control) for f in STRUCTURAL}
-    return rounded(batteries.rerun_without(started(spark, sf_dir), "degraded", cuts, flagged))
+    c = Conditions()
+    cuts = {"structural": (c.structural, c.control), "fear": (c.fear, c.control), "any_obstacle": (~c.control, c.control), "reason": (c.structural, c.fear)} | {f: (c.family == f, c.control) for f in STRUCTURAL}
+    return rounded(batteries.rerun_without(started(spark, sf_dir), "degraded", cuts, c.flagged))
 
 
 def power(spark, sf_dir):
@@ -76,19 +84,21 @@ def arm_selection(spark, sf_dir):
 
 
 def arm_rules(spark, sf_dir):
-    """The five commonest order priorities of each status, as rules of an arm."""
+    """The order priorities of each status, as rules of an arm."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return batteries.rule_histogram(orders, "o_orderstatus", "o_orderpriority").select("o_orderstatus", F.array_join("rules", ",").alias("rules"))
 
 
 def arm_details(spark, sf_dir):
-    rows = started(spark, sf_dir).withColumn("arm", arm).withColumn("tod", F.col("n_chars"))
-    out = batteries.arm_detail(rows, "arm", "degraded", ~control, "tod")
+    c = Conditions()
+    rows = started(spark, sf_dir).withColumn("arm", c.arm).withColumn("tod", F.col("n_chars"))
+    out = batteries.arm_detail(rows, "arm", "degraded", ~c.control, "tod")
     return rounded(out.select("arm", "k", "n", "k0", "n0", "rd", "p", "median_tod"))
 
 
 def family_flags(spark, sf_dir):
-    rows = outcomes(spark, sf_dir).withColumn("arm", arm).withColumn("events", F.floor(F.col("n_chars") / 1000))
+    c = Conditions()
+    rows = outcomes(spark, sf_dir).withColumn("arm", c.arm).withColumn("events", F.floor(F.col("n_chars") / 1000))
     some = batteries.flag_totals(rows, "arm", "events", "family", only=[CONTROL]).withColumn("families", F.lit("control"))
     rest = batteries.flag_totals(rows, "arm", "events", "family", exclude=[CONTROL]).withColumn("families", F.lit("other"))
     return rounded(some.union(rest), 6)
