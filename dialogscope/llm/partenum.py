@@ -12,11 +12,15 @@ those as well.
 
 1. Every task emits (signature, document) once for equal sets that it sees; sorted by signature,
    what stands alone goes. Equal sets are one node from there on.
-2. Each group with a signature gives pairs with one node only, which are verified exactly; after that, groups
-   that hold several components do so once more with a node of another component.
-3. Links make components. Groups that still hold several components give the pairs across them
-   that a bound on the difference (counts of shingles in cells) doesn't rule out; those are verified,
-   and the components are final: pairs that weren't verified lie inside one component.
+2. Each group with a signature gives pairs with one node only, which are verified exactly.
+3. Links make components. The nodes of groups that still hold several components are grouped anew, so that pairs
+   don't grow with the square of a group: their shingles are put in order, rarer ones first, and two similar sets
+   agree in one of the first fifth of both (the prefix that ``similarity`` leaves). Nodes that share a rare shingle (of up to
+   ``few`` of these nodes) in their prefixes form the new groups, which give the pairs across components that a bound on the
+   difference (counts of shingles in cells) doesn't rule out.
+4. Only nodes with fewer rare shingles than their prefix is long (on the test data a hundredth of the nodes) go on
+   in the signatures' groups, which give the pairs across components that the bound allows.
+5. What was verified makes the final components: pairs that weren't verified lie inside one.
 
 Defined results: a null, empty or blank text has an empty set (n_shingles 0), its own component and
 no links; a text with fewer words than a shingle has one shingle, the whole sequence; rows that repeat a
@@ -33,24 +37,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import Memo, connected, over_texts, run_bounds, stored, utf8, whole_runs
+from dialogscope.llm.common import Memo, connected, over_texts, partitions, run_bounds, scratch, stored, utf8, whole_runs
 
 WORDS = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
 #: Counts of shingles per document that bound differences from below; a byte each.
 CELLS = 256
-SEEN = 200_000
+SEEN = 50_000
 #: Pairs that a task bounds at a time.
 PAIRS = 20_000
-#: Rounds of pairs with one node of each group, before all pairs across components.
-ROUNDS = 1
+#: A shingle that so many of the nodes in open groups hold, or fewer, is rare.
+FEW = 32
+#: One shingle in so many (by its hash) can be rare: half of them are enough for nearly every prefix.
+DOMAIN = 2
+#: Ids that a task counts at a time.
+HELD = 1_000_000
+#: Rows of equal sets are dealt to so many tasks a set.
+SALTS = 16
 
 _U = np.uint64
-_WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 300_000)
+
+
+def word_hashes() -> Memo:
+    """Hashes of words; one memo a task, so that no worker carries it on."""
+    return Memo(xxhash.xxh3_64_intdigest, 60_000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,11 +75,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(32))
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS, hashes: Memo | None = None) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    hashes = word_hashes() if hashes is None else hashes
     split = [t.lower().split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter(map(_WORD_HASHES.__getitem__, (w for ws in split for w in ws)), _U, int(sizes.sum()))
+    flat = np.fromiter(map(hashes.__getitem__, (w for ws in split for w in ws)), _U, int(sizes.sum()))
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(flat), _U)
         for k in range(min(words, len(flat))):
@@ -156,10 +171,11 @@ def _emit(docs: DataFrame, words: int, similarity: int) -> DataFrame:
 
     def each():
         seen: dict[bytes, None] = {}
+        memo = word_hashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = shingle_sets(utf8(batch.column(1)), words)
+            sets = shingle_sets(utf8(batch.column(1)), words, memo)
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             fresh = []
             for s, h in zip(sets, hashes, strict=True):
@@ -284,20 +300,22 @@ def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, the set as 64-bit hashes, and its counts in cells."""
+    """id, n, the set as 64-bit hashes, its hash, and its counts in cells."""
 
     def each():
+        memo = word_hashes()
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(utf8(batch.column(1)), words)
+            sets = shingle_sets(utf8(batch.column(1)), words, memo)
             cells = [np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.binary())],
-                ["id", "n", "shingles", "cells"],
+                [batch.column(0), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([s.tobytes() for s in sets], pa.binary()), ([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), (cells, pa.binary())))],
+                ["id", "n", "shingles", "h", "cells"],
             )
 
         return work
 
-    return over_texts(docs, ["id", "text"], "id long, n long, shingles binary, cells binary", each)
+    return over_texts(docs, ["id", "text"], "id long, n long, shingles binary, h binary, cells binary", each)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -330,48 +348,146 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
 
-def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
-    rows = stored(_shared(_emit(docs, words, similarity)), "signatures")
-    of_docs = rows.where("n is not null")
-    first = of_docs.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("id"))
-    nodes = stored(of_docs.join(first, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("id")), "nodes")
-    # rows that repeat a doc_id with other texts: their sets are linked by that doc_id
-    same_id = nodes.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
-
-    groups = rows.where("n is null").join(nodes.where("n_shingles > 0").select("doc_id", "id").distinct(), "doc_id").select("sig", "id").distinct()
-    groups = stored(groups, "all-groups")
-    # signatures with the same nodes say the same: one of them stays
-    several = groups.groupBy("sig").agg(F.count("*").alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]).where("size > 1")
+def _distinct_groups(groups: DataFrame) -> DataFrame:
+    """(sig, id) of groups with two nodes or more; of signatures with the same nodes one stays."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]
+    several = groups.groupBy("sig").agg(F.count("*").alias("size"), *marks).where("size > 1")
     several = several.groupBy("size", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")
-    groups = stored(groups.join(several, "sig", "left_semi"), "groups")
-    wanted = groups.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = stored(_sets(texts, words), "sets")
-
-    # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
-    place = groups.groupBy("id").agg((-F.count("*")).alias("place"))
-    pairs = stored(_first_pairs(groups.join(place, "id")), "pairs")
-    links = stored(_verified(pairs, sets, similarity).union(same_id), "links")
-
-    def still_open() -> DataFrame:
-        """Groups that hold several components, without the nodes' sets: sig, id, component."""
-        within = groups.join(connected(links), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        open_ = within.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-        return stored(within.join(open_, "sig", "left_semi"), "open-groups")
-
-    for _ in range(ROUNDS):
-        # next, the node of each group with most signatures outside the component that leads in the group
-        within = still_open()
-        leading = within.join(place, "id").groupBy("sig").agg(F.min_by("component", F.struct("place", "id")).alias("leading"))
-        rest = within.join(leading, "sig").join(place, "id").select("sig", "id", F.when(F.col("component") == F.col("leading"), 0).otherwise(F.col("place")).alias("place"))
-        more = stored(_first_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        pairs = pairs.union(more)
-        links = links.union(stored(_verified(more, sets, similarity), "more-links"))
-    within = still_open().join(sets.select("id", "n", "cells"), "id")
-    more = stored(_cross_pairs(within, similarity).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    links = links.union(stored(_verified(more, sets, similarity), "cross-links"))
-    final = connected(links)
+    return groups.join(several, "sig", "left_semi")
+
+
+def _prefixes(open_nodes: DataFrame, sets: DataFrame, similarity: int, few: int = FEW) -> DataFrame:
+    """sig (a rare shingle), id, component of nodes with it in their prefix; sig is null for nodes with too few of them.
+
+    ``open_nodes`` has id, component, n and the number of sets. The order is the same for all: rare shingles of the domain by the
+    number of these nodes and the hash, then all others, of which none is listed here. A similar set shares at
+    least ceil(similarity * n) of n shingles, so the first one that two similar sets share is among the first
+    n - ceil(similarity * n) + 1 of each. A node of several sets (of rows that repeat its doc_id) has all rare ones in
+    its prefix, and too few.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                own = own[own % DOMAIN == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), i))], ["sig", "id"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, key) of runs of 2 to ``few`` rows, the key being their length and 58 bits of the hash; per id, minus the
+        number of shingles that it alone has."""
+        alone: list[np.ndarray] = []
+        sig, ids, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # the open run (its last rows) and its length so far
+
+        def told(sigs: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            alone.append(own[sizes == 1])
+            many = (sizes > 1) & (sizes <= few)
+            return pa.RecordBatch.from_arrays([pa.array(own[many]), pa.array(sizes[many] - 1 << 58 | (sigs[many].view(_U) >> _U(6)).view(np.int64))], ["id", "key"])
+
+        def counted() -> pa.RecordBatch:
+            own, n = np.unique(np.concatenate([np.zeros(0, np.int64), *alone]), return_counts=True)
+            alone.clear()
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(-n)], ["id", "key"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs, own, before = batch.column("sig").to_numpy(), batch.column("id").to_numpy(), 0
+            if len(sig) and sigs[0] == sig[0]:
+                before = size - len(sig)  # rows of the run that were let go
+            else:
+                yield told(sig, ids, np.full(len(sig), size))
+                sig, ids = sig[:0], ids[:0]
+            sigs, own = np.concatenate([sig, sigs]), np.concatenate([ids, own])
+            bounds = run_bounds(sigs)
+            sizes = np.diff(bounds)
+            of_row = np.repeat(sizes + np.where(np.arange(len(sizes)) == 0, before, 0), sizes)
+            last = bounds[-2]
+            yield told(sigs[:last], own[:last], of_row[:last])
+            sig, ids, size = sigs[last:][: few + 1].copy(), own[last:][: few + 1].copy(), int(of_row[-1])
+            if sum(map(len, alone)) >= HELD:
+                yield counted()
+        yield told(sig, ids, np.full(len(sig), size))
+        yield counted()
+
+    rows = open_nodes.select("id").join(sets.select("id", "shingles"), "id").mapInArrow(listed, "sig long, id long")
+    rows = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(rare, "id long, key long")
+    all_rows = open_nodes.join(rows, "id", "left")
+    own = Window.partitionBy("id")
+    is_rare = F.coalesce(F.col("key") > 0, F.lit(False))
+    alone = F.coalesce(F.sum(F.when(F.col("key") < 0, -F.col("key"))).over(own), F.lit(0))
+    length = F.when(F.col("sets") > 1, F.lit(1 << 40)).otherwise(F.col("n") - F.floor((F.col("n") * similarity + 99) / 100) + 1)
+    all_rows = all_rows.select(
+        "id", "component", F.when(is_rare, F.col("key")).alias("sig"), (length - alone).alias("room"), F.count_if(is_rare).over(own).alias("shared"),
+        F.row_number().over(own.orderBy(~is_rare, "key")).alias("k"),
+    )
+    in_prefix, too_few = F.col("sig").isNotNull() & (F.col("k") <= F.col("room")), (F.col("shared") < F.col("room")) & (F.col("k") == 1)
+    first = F.when(in_prefix & too_few, F.array("sig", F.lit(None).cast("long"))).when(in_prefix, F.array("sig")).when(too_few, F.array(F.lit(None).cast("long")))
+    return all_rows.select("id", "component", F.explode(first).alias("sig"))
+
+
+def _nodes_and_groups(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, id) with the node of each document, links (a, b) of nodes by doc_id, and groups (sig, id)."""
+    with scratch(docs.sparkSession):
+        rows = stored(_shared(_emit(docs, words, similarity)), "signatures")
+        of_docs = rows.where("n is not null")
+        # equal sets: the smallest doc_id, first within each of some salts; only sets that several rows have are joined
+        salted = of_docs.where("n > 0").groupBy("h", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+        first = salted.groupBy("h").agg(F.min("id").alias("id"), F.sum("rows").alias("rows")).where("rows > 1").select("h", "id")
+        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        dealt = of_docs.select("doc_id", "n", "h", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+        nodes = dealt.join(first, ["h", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("id"))
+        nodes = stored(nodes, "nodes", outlives=2)
+        # rows that repeat a doc_id with other texts: their sets are linked by that doc_id
+        same_id = nodes.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
+
+        groups = rows.where("n is null").join(nodes.where("n_shingles > 0").select("doc_id", "id").distinct(), "doc_id").select("sig", "id").distinct()
+        groups = stored(groups, "all-groups")
+        return nodes, same_id, stored(_distinct_groups(groups), "groups", outlives=1)
+
+
+def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILARITY, few: int = FEW) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        nodes, same_id, groups = _nodes_and_groups(docs, words, similarity)
+        # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
+        place = stored(groups.groupBy("id").agg((-F.count("*")).alias("place")), "places")
+        # all sets, in buckets by id: they are shuffled here and in none of the joins below
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+        sets = _sets(texts, words).where("n > 0").repartition(partitions(spark), "id").dropDuplicates(["id", "h"])
+        sets = stored(sets, "sets", bucket="id")
+
+        pairs = stored(_first_pairs(groups.join(place, "id")), "pairs")
+        links = stored(_verified(pairs, sets, similarity).union(same_id), "links")
+
+        def still_open(of: DataFrame, component: DataFrame) -> DataFrame:
+            """Groups that hold several components, without the nodes' sets: sig, id, component."""
+            within = of.select("sig", "id").join(component, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+            open_ = within.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+            return within.join(open_, "sig", "left_semi")
+
+        def verify(found: DataFrame) -> DataFrame:
+            nonlocal pairs
+            more = stored(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            pairs = pairs.union(more)
+            return stored(_verified(more, sets, similarity), "more-links")
+
+        within = stored(still_open(groups, connected(links)), "open-groups")
+        per_id = sets.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))  # several where rows repeat a doc_id
+        open_nodes = stored(within.select("id", "component").distinct().join(per_id, "id"), "open-nodes")
+        parted = stored(_prefixes(open_nodes, sets, similarity, few), "prefixes")
+        cells = sets.select("id", "n", "cells")
+        shared = parted.where("sig is not null")
+        several = shared.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+        links = links.union(verify(_cross_pairs(shared.join(several, "sig", "left_semi").join(cells, "id"), similarity)))
+        final = stored(connected(links), "components", outlives=1)
+        # what no rare shingle decides
+        common = within.select("sig", "id").join(parted.where("sig is null").select("id"), "id", "left_semi")
+        left = stored(still_open(_distinct_groups(common), final), "left-groups")
+        last = verify(_cross_pairs(left.join(cells, "id"), similarity))
+        if not last.isEmpty():
+            final = stored(connected(links.union(last)), "components", outlives=1)
     nodes = nodes.join(final, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     blank = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return nodes.union(blank)
