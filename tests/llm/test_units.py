@@ -232,6 +232,33 @@ def test_components_equal_brute_force(spark, awkward, empty):
     assert partenum.components(awkward).count() == len(AWKWARD) and partenum.components(empty).count() == 0
 
 
+def test_crowded_groups_lose_no_link(spark):
+    """Many texts around one passage, some of them near copies: signatures are crowded, links are few."""
+    rng = random.Random(5)
+    passage = ["common%d" % i for i in range(60)]
+    texts = [[*passage, *("own%d_%d" % (i, k) for k in range(40))] for i in range(60)]
+    for i in range(0, 60, 7):
+        near = list(texts[i])
+        near[rng.randrange(100)] = "changed"
+        texts.append(near)
+    texts += [passage[:k] for k in range(45, 60)]  # rare shingles don't tell these apart
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(3, " ".join(texts[70]))]
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in docs]
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if 100 * len(x & y) >= 80 * len(x | y) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    out = partenum.components(frame(spark, docs), few=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(i, find(i)) for i in root} and len(out) == len(docs)
+
+
 def test_batches_of_few_words(spark):
     for n in range(7):
         for texts in ([b"a b c d e f"[: max(0, 2 * n - 1)]], [b"", *[b"w%d" % k for k in range(n)]]):
@@ -279,17 +306,69 @@ def test_search_finds_neighbours_and_leaves_bad_vectors(spark):
 def test_probes_come_in_order_of_cost():
     within = np.array([0.2, 0.7, 0.45])
     cost = lambda s: sum((w if d < 0 else 1 - w) ** 2 for w, d in zip(within, s, strict=True) if d)
-    costs = [cost(s) for s in multiprobe.perturbations(within, 27)]
+    costs = [cost(s) for s in multiprobe.perturbations(within[None], 27)[0].tolist()]
     assert len(costs) == 27 and costs == sorted(costs)
 
 
+def slow_neighbours(rows, queries, nearest=20):
+    """The nearest of each query among rows (vec_id, vector); ties to the smaller vec_id."""
+    out = {}
+    for q, x in rows:
+        if q in queries:
+            scored = sorted((-float((np.float64(y) * np.float64(x)).sum()), i) for i, y in rows if i != q)
+            out[q] = [i for _, i in scored[:nearest]]
+    return out
+
+
+@pytest.mark.parametrize("norms", ["one", "lognormal", "outlier", "few"])
+def test_search_on_uneven_norms(spark, norms):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(15 if norms == "few" else 900, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "lognormal":
+        v *= rng.lognormal(0, 1, (len(v), 1))
+    if norms == "outlier":
+        v[7] *= 1000
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = multiprobe.search(df, df.where("vec_id % 20 = 0")).collect()
+    due = slow_neighbours(rows, set(range(0, len(v), 20)))
+    got = {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in due}
+    assert all(len(got[q]) == len(due[q]) for q in due)
+    assert sum(len(set(got[q]) & set(due[q])) for q in due) >= 0.9 * sum(map(len, due.values()))
+
+
+def test_search_with_repeated_ids_and_ties(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0])]
+    out = multiprobe.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.where("vec_id = 20")).collect()
+    # vec_id 20 stands at two vectors and asks with both; each row but its own vec_id is a candidate
+    got = sorted((r["score"], r["vec_id"]) for r in out)
+    assert got == sorted([(1.0, 1), (1.0, 2), (1.0, 3), (0.0, 3), (0.0, 1), (0.0, 2), (2.0, 3), (2.0, 3)])
+
+
+def test_index_prunes_as_it_grows():
+    """Distinct vectors examined by a query fall as a share of all when vectors are near some of the others."""
+    rng, shares = np.random.default_rng(3), []
+    for n in (1000, 8000, 64_000):
+        v = np.repeat(rng.normal(size=(n // 20, 32)), 20, axis=0) + rng.normal(size=(n, 32)) * 0.3
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        made = multiprobe.Tables(32, 1.0, multiprobe.hashes_for(n), multiprobe.TABLES, multiprobe.WIDTH, 1)
+        asked = v[:: n // 10]
+        keys, visits = made.of_vectors(v), made.of_queries(asked, multiprobe.PROBES)
+        examined = np.array([np.isin(keys, mine).any(1) for mine in visits])
+        near = np.argsort(-(asked @ v.T), axis=1)[:, :20]
+        assert np.take_along_axis(examined, near, 1).mean() >= 0.9
+        shares.append(examined.mean())
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.4, shares
+
+
 # --- language models
 
 
 def test_language_model_counts_and_learns(spark, awkward, empty):
     rng = random.Random(8)
     docs = [(i, " ".join(x for _ in range(30) for x in rng.choice([("red", "fish"), ("blue", "bird"), ("rare%d" % rng.randint(0, 500), "thing")]))) for i in range(300)]
-    out = {r["doc_id"]: r for r in gated_lm.score(frame(spark, docs), share=1.0).collect()}
+    out = {r["doc_id"]: r for r in gated_lm.score(frame(spark, docs)).collect()}
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10]
     count = {}
     for t in train:
@@ -305,21 +384,87 @@ def test_language_model_counts_and_learns(spark, awkward, empty):
     assert gated_lm.score(awkward).count() == 11 and gated_lm.score(empty).count() == 0
 
 
+def small_net(tokens=100):
+    rng = np.random.default_rng(9)
+    lex = gated_lm.Lexicon(np.arange(tokens), np.sort(rng.integers(1, 90, tokens))[::-1].copy(), 6000, tokens + 30)
+    return lex, {k: v.astype(float) + rng.normal(0, 0.2, v.shape) for k, v in gated_lm.unit(lex).items()}
+
+
+def slow_log10(p, ids):
+    """One text, token by token: the state is carried from its beginning to its end."""
+    H, S, heads = gated_lm.HIDDEN, gated_lm.CLASS_SIZE, len(p["w"])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, at, total = np.zeros(H), p["x"].shape[1] - 1, 0.0
+    for target in ids:
+        x, g = p["x"][:, at], p["u"] @ h
+        r, z = sigmoid(x[:H] + g[:H]), sigmoid(x[H : 2 * H] + g[H : 2 * H])
+        n = np.tanh(x[2 * H :] + r * g[2 * H :])
+        h = (1 - z) * n + z * h
+        classes = np.exp(p["c"] @ h + p["cb"])
+        k = target // S if target < heads * S else heads + target - heads * S
+        total += np.log10(classes[k] / classes.sum())
+        if k < heads:
+            inner = np.exp(p["w"][k] @ h + p["wb"][k])
+            total += np.log10(inner[target % S] / inner.sum())
+        at = target
+    return total
+
+
+def test_language_model_equals_a_slow_one_over_many_windows():
+    lex, p = small_net()
+    rng = np.random.default_rng(2)
+    texts = [gated_lm._padded(lex, rng.integers(0, 102, n)) for n in (1, 3, 40, 700, 700, 2500)]
+    assert gated_lm.score_texts(p, texts) == pytest.approx([slow_log10(p, t) for t in texts], rel=1e-4)
+
+
+def test_gradients_equal_differences():
+    lex, p = small_net()
+    rng = np.random.default_rng(3)
+    ids = gated_lm._padded(lex, rng.integers(0, 102, (7, 5)))
+    inputs, h = np.roll(ids, 1, axis=0), rng.normal(size=(gated_lm.HIDDEN, 5))
+
+    def loss():
+        states, _ = gated_lm._steps(p, inputs, h)
+        return -gated_lm._outputs(p, states.reshape(gated_lm.HIDDEN, -1), ids.ravel(), None)[0].sum()
+
+    grads = {k: np.zeros_like(v) for k, v in p.items()}
+    states, kept = gated_lm._steps(p, inputs, h)
+    _, back = gated_lm._outputs(p, states.reshape(gated_lm.HIDDEN, -1), ids.ravel(), grads)
+    gated_lm._back(p, inputs, kept, back.reshape(states.shape), grads)
+    for k, v in p.items():
+        for at in [np.unravel_index(np.abs(grads[k]).argmax(), v.shape), *(tuple(rng.integers(0, n) for n in v.shape) for _ in range(6))]:
+            own, e = v[at], 1e-5
+            v[at] = own + e
+            up = loss()
+            v[at] = own - e
+            down = loss()
+            v[at] = own
+            assert grads[k][at] == pytest.approx((up - down) / (2 * e), rel=1e-4, abs=1e-6), k
+
+
 def test_language_model_is_a_distribution():
-    lex = gated_lm.Lexicon(np.arange(40), np.arange(80, 40, -1), int(np.arange(80, 40, -1).sum()) + 60, 60)
-    p = gated_lm.unit(lex)
-    states = np.random.default_rng(9).normal(size=(1, gated_lm.HIDDEN)).astype(np.float32)
-    places = np.array([*range(40), *range(2 * 32, 2 * 32 + 2)])
-    logp, _ = gated_lm._outputs(p, np.repeat(states, len(places), 0), places, None)
+    lex, p = small_net(40)
+    states = np.random.default_rng(9).normal(size=(gated_lm.HIDDEN, 1))
+    places = gated_lm._padded(lex, np.arange(42))
+    logp, _ = gated_lm._outputs(gated_lm.unit(lex), np.repeat(states, len(places), 1), places, None)
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_language_model_reads_unseen_words_with_a_small_head():
-    for head in (1, 4, 31, 33):
+    for head in (1, 4, 63, 65):
         lex = gated_lm.Lexicon(np.arange(head), np.arange(head, 0, -1), int(np.arange(head, 0, -1).sum()), head)
         p = gated_lm.unit(lex)
-        ids = gated_lm._padded(p, lex, gated_lm._as_inputs(lex, np.array([0, head, head, 0])))
-        assert ids.max() < len(p["x"]) - 1 and np.isfinite(gated_lm.score_texts(p, [ids])).all()
+        ids = gated_lm._padded(lex, gated_lm._as_inputs(lex, np.array([0, head, head, 0])))
+        assert ids.max() < p["x"].shape[1] - 1 and np.isfinite(gated_lm.score_texts(p, [ids])).all()
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["red fish", "blue bird", "green tree"]) for _ in range(20))) for i in range(80)] + [(None, "red fish"), (5, "blue fish")]
+    one, other = (
+        {(r["doc_id"], r["n_tokens"]): r["score"] for r in gated_lm.score(frame(spark, order).repartition(n)).collect()} for order, n in ((docs, 1), (docs[::-1], 5))
+    )
+    assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], rel=1e-6) for k in one)
 
 
 def test_classifier_keeps_clean_and_drops_noise(spark, awkward, empty):
