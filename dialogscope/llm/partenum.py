@@ -453,10 +453,10 @@ def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILAR
         nodes, same_id, groups = _nodes_and_groups(docs, words, similarity)
         # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
         place = stored(groups.groupBy("id").agg((-F.count("*")).alias("place")), "places")
-        # all sets, in buckets by id: they are shuffled here and in none of the joins below
+        # the sets of nodes in groups, in buckets by id: they are shuffled here and in none of the joins below
         texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-        sets = _sets(texts, words).where("n > 0").repartition(partitions(spark), "id").dropDuplicates(["id", "h"])
-        sets = stored(sets, "sets", bucket="id")
+        sets = _sets(texts, words).where("n > 0").repartition(partitions(spark), "id").join(place.select("id"), "id", "left_semi")
+        sets = stored(sets.dropDuplicates(["id", "h"]).drop("h"), "sets", bucket="id")
 
         pairs = stored(_first_pairs(groups.join(place, "id")), "pairs")
         links = stored(_verified(pairs, sets, similarity).union(same_id), "links")
