@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogscope.llm import byte_bpe, divergence_rules, gated_lm, html_blocks, kn_quality, line_dedup, multiprobe, packing, partenum, wordpiece
+from dialogscope.llm import byte_bpe, divergence_rules, gated_lm, html_blocks, kn_quality, line_dedup, multiprobe, packing, partenum, syncmers, wordpiece
 from dialogscope.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_pairs(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_line_dedup": op2_line_dedup,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
+    "op11_closed_syncmers": op11_closed_syncmers,
 }
 
 ORACLE_SQL: dict[str, str] = {
