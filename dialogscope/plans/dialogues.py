@@ -15,6 +15,7 @@ from dialogscope.functions import text as T
 from dialogscope.operators import quality, records, sets, votes
 from dialogscope.plans.outcomes import OUT, outcomes, rounded
 from dialogscope.sources.records import last_wins
+from dialogscope.streaming import logs, state
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -265,19 +266,36 @@ def stats_diff(spark, sf_dir):
     return rounded(a.join(b, "o_orderpriority", "left").select("o_orderpriority", "before", "after", (F.signum("after") == F.signum("before")).alias("same_sign"), moved.alias("moved")), 4)
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    now = spark.read.parquet(path)
+    return logs.follow(spark, path, now.schema, fmt="parquet", single_file=now.inputFiles()[0].endswith(f"/{name}.parquet"), **options)
+
+
 def stream_last_wins(spark, sf_dir):
     """The same as ``last_row_wins``, from a stream of the events file."""
-    from dialogscope.streaming import logs
-
-    path = f"{sf_dir}/events.parquet"
-    now = spark.read.parquet(path)
-    events = logs.follow(spark, path, now.schema, fmt="parquet", single_file=now.inputFiles()[0].endswith("/events.parquet"))
-    events = events.select("user_id", "event_id", "event_type", "value")
+    events = _stream(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     sink = _scratch(spark)
     logs.upsert(events, sink, "user_id", "event_id", _scratch(spark)).awaitTermination()
     return logs.latest(spark, sink)
 
 
+def sticky_state_stream(spark, sf_dir):
+    """The same as ``sticky_state``, from a stream: state by user, changed rows merged into a table of events."""
+    events = _stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    latched, sink = state.latched(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", "failed_before"), _scratch(spark)
+    logs.upsert(latched, sink, "event_id", "failed_before", _scratch(spark), changes=True).awaitTermination()
+    return logs.latest(spark, sink).groupBy("event_type", "failed_before").agg(F.count("*").alias("n"))
+
+
+def spend_cap_stream(spark, sf_dir):
+    """The same as ``spend_cap_replay``, from a stream: whole files in one batch, so that keys are in order."""
+    orders = _stream(spark, sf_dir, "orders", files_per_trigger=2**31 - 1).select("o_custkey", "o_orderkey", "o_totalprice")
+    replayed, sink = state.spend_replay(orders, "o_orderkey", "o_totalprice", 500_000.0, by="o_custkey"), _scratch(spark)
+    logs.upsert(replayed, sink, "o_orderkey", "spent", _scratch(spark)).awaitTermination()
+    return logs.latest(spark, sink).groupBy("runs").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+
+
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
@@ -295,7 +313,7 @@ QUERIES = {
         turn_counts, render_transcript, outcome_buckets, cell_ids, grid_cross, resume_anti, missing_extra_dupes, orphans, exclusion_semi, paired_arms, kway_match, hash_manifest_diff,
         prior_vs_current, panel_votes, panel_agreement, panel_for_rotation, verdict_validate, last_row_wins, sticky_state, spend_cap_replay, free_ordinal, round_robin_sample, shingle_overlap,
         normalize_text, quote_verbatim, rule_hits, gratitude_wrap, repetition_pairs, template_fill_hash, verdict_extraction, turn_cost, check_battery, observed_values, catalogue_index, stats_diff,
-        stream_last_wins,
+        stream_last_wins, sticky_state_stream, spend_cap_stream,
     )
 }
 
@@ -305,6 +323,10 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z'']+')"
 _DONE = """done AS (SELECT DISTINCT n_name AS nation, o_orderpriority AS priority, o_orderkey % 2 AS replicate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
     grid AS (SELECT n_name AS nation, priority, replicate FROM nation, (SELECT DISTINCT o_orderpriority AS priority FROM orders), (SELECT unnest(range(3)) AS replicate))"""
 _LAST = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE user_id IS NOT NULL GROUP BY user_id"
+_LATCHED = """WITH e AS (SELECT event_type, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS failed_before FROM events)
+        SELECT event_type, failed_before, count(*) AS n FROM e GROUP BY ALL"""
+_CAPPED = """WITH o AS (SELECT o_totalprice, coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500000 AS runs FROM orders)
+        SELECT runs, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM o GROUP BY runs"""
 
 ORACLE_SQL = {
     "turn_counts": """SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_adv, arg_min(text, turn) FILTER (role = 'assistant') AS first_advisor FROM conversations GROUP BY conv_id""",
@@ -345,10 +367,10 @@ ORACLE_SQL = {
         SELECT n_nationkey, array_to_string(list_filter(e, lambda x, i: i - 1 <> n_regionkey % 4), ',') AS seats FROM e""",
     "last_row_wins": _LAST,
     "stream_last_wins": _LAST,
-    "sticky_state": """WITH e AS (SELECT event_type, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS failed_before FROM events)
-        SELECT event_type, failed_before, count(*) AS n FROM e GROUP BY ALL""",
-    "spend_cap_replay": """WITH o AS (SELECT o_totalprice, coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500000 AS runs FROM orders)
-        SELECT runs, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM o GROUP BY runs""",
+    "sticky_state": _LATCHED,
+    "sticky_state_stream": _LATCHED,
+    "spend_cap_replay": _CAPPED,
+    "spend_cap_stream": _CAPPED,
     "free_ordinal": "WITH n AS (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderkey >= 2), c AS (SELECT 2::BIGINT AS n UNION SELECT n + 1 FROM n) SELECT min(n) AS n FROM c WHERE n NOT IN (SELECT n FROM n)",
     "round_robin_sample": f"WITH {OUT} SELECT doc_id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS place FROM out WHERE init",
     "shingle_overlap": f"""WITH b AS (SELECT {_WORDS} AS w FROM benchmark), bs AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS s FROM b),
