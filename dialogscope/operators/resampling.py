@@ -1,10 +1,10 @@
 """Bootstraps over sufficient statistics: a replicate is a vector of counts, never a list of drawn rows.
 
-Units are first summed to their sufficient statistics. Where they are few (``FEW_UNITS``, checked), a replicate draws how
-often each of them counts from one multinomial distribution (in a stratum, one each); beyond that, every unit draws its own
-count from a Poisson distribution, for all replicates at once, and the sums are added up. Random numbers depend on the
-seed, the replicate and, for Poisson counts, on a hash of the unit, so a result doesn't depend on partitions. numpy's stream for
-whole arrays isn't reproduced; distributions are.
+Units are first summed to their sufficient statistics, and equal ones become a cell with a size. A replicate draws how often each cell
+counts from one multinomial distribution (in a stratum, one each), at every size: cells are dealt into chunks by a hash, each task draws
+how many fall on its chunk from the chunks' sizes, all with the same random numbers, and then how they fall within it. Random numbers depend on the
+seed and on the block of ``BLOCK`` replicates, so a result doesn't depend on partitions. numpy's stream for whole arrays isn't
+reproduced; distributions are.
 """
 
 from __future__ import annotations
@@ -16,48 +16,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Units that travel to every task as a matrix of sums.
-FEW_UNITS = 20_000
+#: Cells of a chunk, about, and replicates that are drawn at once: a task holds their product.
+CHUNK = 10_000
+BLOCK = 256
+
+
+def drawn(sizes: np.ndarray, total: int | np.ndarray, block: int, *seed: int) -> np.ndarray:
+    """``BLOCK`` draws of ``total`` units over cells of these sizes."""
+    return np.random.default_rng((*seed, block)).multinomial(total, sizes / sizes.sum(), size=BLOCK)
 
 
 def replicate_sums(units: DataFrame, sums: list[str], key: list[str], replicates: int, seed: int, stratum: str | None = None) -> DataFrame:
-    """rep, (stratum,) and the resampled totals of ``sums``; ``units`` has a row for each unit, named by ``key``."""
-    spark = units.sparkSession
+    """rep, (stratum,) and the resampled totals of ``sums``; ``units`` has a row for each unit, named by ``key`` (which only tells units apart)."""
+    spark, by = units.sparkSession, [stratum] if stratum else []
+    values = [F.col(c).cast("double").alias(c) for c in sums]
+    cells = units.select(*by, *values).groupBy(*by, *sums).agg(F.count("*").alias("__size"))
+    parts = max(1, cells.count() // CHUNK)
+    cells = cells.withColumn("__chunk", F.pmod(F.xxhash64(*sums), F.lit(parts)).cast("int")).persist()
+    # a row for each chunk: sizes of a stratum's chunks, in the order of their numbers
+    dealt: dict = {}
+    for r in cells.groupBy(*by, "__chunk").agg(F.sum("__size").alias("n")).collect():
+        dealt.setdefault(r[stratum] if stratum else None, {})[r["__chunk"]] = r["n"]
+    order = {name: k for k, name in enumerate(sorted(dealt, key=lambda x: (x is None, x)))}
     kind = f"{stratum} {units.schema[stratum].dataType.simpleString()}, " if stratum else ""
     schema = "rep long, " + kind + ", ".join(f"{c} double" for c in sums)
-    if units.limit(FEW_UNITS + 1).count() <= FEW_UNITS:
-        # FEW_UNITS rows at most
-        few = units.select(*([stratum] if stratum else []), *key, *[F.col(c).cast("double").alias(c) for c in sums]).orderBy(*([stratum] if stratum else []), *key).toPandas()
-        groups = [(name, g[sums].to_numpy()) for name, g in (few.groupby(stratum, dropna=False, sort=True) if stratum else [(None, few)])]
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for rep in batch["rep"]:
-                    rng = np.random.default_rng((seed, int(rep)))
-                    for name, m in groups:
-                        total = rng.multinomial(len(m), np.full(len(m), 1 / len(m))) @ m if len(m) else np.zeros(len(sums))
-                        rows.append((rep, *([name] if stratum else []), *total))
-                yield pd.DataFrame(rows, columns=["rep", *([stratum] if stratum else []), *sums])
-
-        return spark.range(replicates).select(F.col("id").alias("rep")).mapInPandas(draw, schema)
-
-    def poisson(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict = {}
-        for batch in batches:
-            for name, g in batch.groupby(stratum, dropna=False) if stratum else [(None, batch)]:
-                held = totals.setdefault(name, np.zeros((replicates, len(sums))))
-                for unit, values in zip(g["__unit"], g[sums].to_numpy(float), strict=True):
-                    held += np.random.default_rng((seed, int(unit) & (1 << 63) - 1)).poisson(1.0, replicates)[:, None] * values
-        for name, held in totals.items():
-            out = pd.DataFrame(held, columns=sums)
-            out.insert(0, "rep", np.arange(replicates))
-            if stratum:
-                out.insert(1, stratum, name)
-            yield out
 
-    marked = units.select(F.xxhash64(*key).alias("__unit"), *([stratum] if stratum else []), *[F.col(c).cast("double").alias(c) for c in sums])
-    return marked.mapInPandas(poisson, schema).groupBy("rep", *([stratum] if stratum else [])).agg(*[F.sum(c).alias(c) for c in sums])
+    def draw(given: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        name, number, block = (given if stratum else (None, *given))
+        name = None if name is None or name != name else name
+        own = dealt[name]
+        numbers = sorted(own)
+        sizes = np.array([own[k] for k in numbers])
+        on_chunk = drawn(sizes, int(sizes.sum()), int(block), seed, 1, order[name])[:, numbers.index(number)]
+        chunk = chunk.sort_values(sums)
+        counts = drawn(chunk["__size"].to_numpy(), on_chunk, int(block), seed, 2, order[name], int(number))
+        out = pd.DataFrame(counts @ chunk[sums].to_numpy(float), columns=sums)
+        out.insert(0, "rep", int(block) * BLOCK + np.arange(BLOCK))
+        if stratum:
+            out.insert(1, stratum, name)
+        return out[out["rep"] < replicates]
+
+    blocks = cells.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+    out = blocks.groupBy(*by, "__chunk", "__block").applyInPandas(draw, schema)
+    if parts > 1:
+        out = out.groupBy("rep", *by).agg(*[F.sum(c).alias(c) for c in sums])
+    if not stratum and not dealt:
+        return spark.range(replicates).select(F.col("id").alias("rep"), *[F.lit(0.0).alias(c) for c in sums])
+    return out
 
 
 def interval(values: DataFrame, value: str, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -106,6 +111,9 @@ def paired_difference(pairs: DataFrame, a: Column, b: Column, replicates: int, s
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"d": [np.random.default_rng((seed, int(rep))).multinomial(n, counts / n) @ effects / n if n else None for rep in batch["rep"]]}, dtype=float)
+            for block in batch["block"]:
+                d = drawn(counts, n, int(block), seed) @ effects / n if n else np.full(BLOCK, np.nan)
+                yield pd.DataFrame({"d": d[: replicates - int(block) * BLOCK]})
 
-    return interval(pairs.sparkSession.range(replicates).select(F.col("id").alias("rep")).mapInPandas(draw, "d double"), "d")
+    blocks = pairs.sparkSession.range(-(-replicates // BLOCK)).select(F.col("id").alias("block"))
+    return interval(blocks.mapInPandas(draw, "d double"), "d")

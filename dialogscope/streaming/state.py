@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, IntegralType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DoubleType, IntegralType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,7 +19,10 @@ def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: St
 
 
 def _as_long(stream: DataFrame, name: str) -> Column:
-    return F.unix_micros(name) if isinstance(stream.schema[name].dataType, TimestampType) else F.col(name).cast("long")
+    kind = stream.schema[name].dataType
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
+    return F.unix_micros(name) if isinstance(kind, TimestampType) else F.col(name).cast("long")
 
 
 def _value(x, whole: bool):
