@@ -72,7 +72,8 @@ class CuckooFilter:
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = keys.astype(np.uint64)
         prints = np.maximum((keys >> np.uint64(48)).astype(np.uint16), 1)
-        first = keys & self.mask
+        # all keys of a shard agree in what the shard is made of, so the bucket comes from a mix of all bits
+        first = (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)) & self.mask
         return prints, first.astype(np.int64), (first ^ self._turn(prints)).astype(np.int64)
 
     def _turn(self, prints: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ class CuckooFilter:
         return (self.table[first] == prints[:, None]).any(1) | (self.table[second] == prints[:, None]).any(1)
 
     def insert(self, keys: np.ndarray) -> CuckooFilter:
-        """The filter with the keys added: this one, or a larger one if it gets too full."""
+        """The filter with the keys added; OverflowError, and a filter in no defined state, if they don't fit."""
         prints, first, second = self._places(keys)
         left = np.arange(len(keys))
         for bucket in (first, second):
@@ -141,8 +142,8 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 class LineIndex:
     """References, counts and filters of the documents inserted so far."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, rows_a_salt: int = ROWS_A_SALT):
-        self.spark, self.min_docs, self.min_chars, self.shards, self.rows_a_salt = spark, min_docs, min_chars, shards, rows_a_salt
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, rows_a_salt: int = ROWS_A_SALT, keys_a_shard: int = KEYS_A_SHARD):
+        self.spark, self.min_docs, self.min_chars, self.shards, self.rows_a_salt, self.keys_a_shard = spark, min_docs, min_chars, shards, rows_a_salt, keys_a_shard
         self.refs = spark.createDataFrame([], "doc_id long, h1 long, h2 long")
         self.counts = spark.createDataFrame([], "h1 long, h2 long, n long, last long")
         self.filters = spark.createDataFrame([], "shard int, table binary")
@@ -160,9 +161,7 @@ class LineIndex:
         more = new.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
         if self.empty:
             self.refs, counts = new, stored(more, "line-counts")
-            frequent = counts.where(F.col("n") >= self.min_docs)
-            self.shards = max(self.shards, frequent.count() // KEYS_A_SHARD)
-            self._refilter(frequent, None)
+            self._build(counts.where(F.col("n") >= self.min_docs))
         else:
             counts = self.counts.union(more).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
             self._replace(self.refs.union(new), stored(counts, "line-counts"))
@@ -184,40 +183,50 @@ class LineIndex:
         before = self.counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
         after = counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
         self.refs = refs
-        self._refilter(after.join(before, ["h1", "h2"], "left_anti"), before.join(after, ["h1", "h2"], "left_anti"))
+        if after.count() // self.keys_a_shard > 2 * self.shards:
+            self._build(after)
+        else:
+            self._refilter(after.join(before, ["h1", "h2"], "left_anti"), before.join(after, ["h1", "h2"], "left_anti"), after)
+
+    def _built(self, frequent: DataFrame) -> DataFrame:
+        """The filters of these keys' shards; one that doesn't fit gets twice the size."""
+
+        def built(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
+            size = len(keys)
+            while True:
+                try:
+                    return pd.DataFrame({"shard": [key[0]], "table": [CuckooFilter.sized(size).insert(keys["h1"].to_numpy()).table.tobytes()]})
+                except OverflowError:
+                    size *= 2
 
-    def _refilter(self, up: DataFrame, down: DataFrame | None) -> None:
-        """Lets keys enter and leave their shards' filters; a filter that is full is built anew, larger."""
-        moves = up.select(self._shard(), "h1", F.lit(True).alias("enters"))
-        if down is not None:
-            moves = moves.union(down.select(self._shard(), "h1", F.lit(False)))
+        return frequent.select(self._shard(), "h1").groupBy("shard").applyInPandas(built, "shard int, table binary")
+
+    def _build(self, frequent: DataFrame) -> None:
+        """All filters anew, in as many shards as the keys call for."""
+        self.shards = max(self.shards, frequent.count() // self.keys_a_shard)
+        self.filters = stored(self._built(frequent), "line-filters")
+
+    def _refilter(self, up: DataFrame, down: DataFrame, frequent: DataFrame) -> None:
+        """Lets keys enter and leave their shards' filters; one that gets too full is built anew from all its frequent keys."""
+        moves = up.select(self._shard(), "h1", F.lit(True).alias("enters")).union(down.select(self._shard(), "h1", F.lit(False)))
 
         def changed(key: tuple, old: pd.DataFrame, move: pd.DataFrame) -> pd.DataFrame:
             enters = move["h1"].to_numpy()[move["enters"].to_numpy(bool)]
             leaves = move["h1"].to_numpy()[~move["enters"].to_numpy(bool)]
             held = CuckooFilter(np.frombuffer(old["table"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()) if len(old) else CuckooFilter.sized(0)
             held.delete(leaves)
-            kept = (held.table != 0).sum() + len(enters)
-            if kept > 0.8 * held.table.size:
-                return pd.DataFrame({"shard": [key[0]], "table": [b""]})
-            return pd.DataFrame({"shard": [key[0]], "table": [held.insert(enters).table.tobytes()]})
-
-        def built(key: tuple, move: pd.DataFrame) -> pd.DataFrame:
-            keys, size = move["h1"].to_numpy(), len(move)
-            while True:
+            table = b""
+            if (held.table != 0).sum() + len(enters) <= 0.8 * held.table.size:
                 try:
-                    return pd.DataFrame({"shard": [key[0]], "table": [CuckooFilter.sized(size).insert(keys).table.tobytes()]})
-                except OverflowError:
-                    size *= 2
+                    table = held.insert(enters).table.tobytes()
+                except OverflowError:  # pairs of buckets can be full before the filter is
+                    pass
+            return pd.DataFrame({"shard": [key[0]], "table": [table]})
 
-        schema = "shard int, table binary"
-        if self.empty:
-            self.filters = stored(moves.groupBy("shard").applyInPandas(built, schema), "line-filters")
-            return
-        changes = stored(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(changed, schema), "line-filters")
+        changes = stored(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(changed, "shard int, table binary"), "line-filters")
         full = changes.where(F.length("table") == 0).select("shard")
-        frequent = self.refs.groupBy("h1", "h2").count().where(F.col("count") >= self.min_docs).select(self._shard(), "h1")
-        again = frequent.join(F.broadcast(full), "shard", "left_semi").groupBy("shard").applyInPandas(built, schema)
+        # the number of shards is bounded by the keys' number over ``keys_a_shard``
+        again = self._built(frequent.withColumn("shard", self._shard()).join(F.broadcast(full), "shard", "left_semi"))
         self.filters = stored(changes.where(F.length("table") > 0).union(again), "line-filters")
 
     def dropped(self, refs: DataFrame) -> DataFrame:

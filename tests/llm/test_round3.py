@@ -247,3 +247,39 @@ def test_trie_of_one_conversation_and_of_equal_ones(spark):
     assert _built(spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS)) == _trie(rows)
     rows = [(3, 0, "user", "alone")]
     assert _built(spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS)) == _trie(rows)
+
+
+# line index
+
+
+def test_line_index_grows_and_shrinks_with_many_keys_a_shard(spark):
+    """Three insertions and two deletions with some 10,000 frequent keys in a shard, and more shards in the end, against plain counts."""
+    from dialogscope.llm.line_dedup import LineIndex
+
+    line = lambda k: f"line number {k:06d} of a text that is long enough to have a key"
+    docs, at = {}, 0
+    index = LineIndex(spark, shards=2, keys_a_shard=11_000)
+
+    def frame(ids):
+        return spark.createDataFrame([(i, docs[i]) for i in ids], "doc_id long, text string").repartition(4)
+
+    def check():
+        held = Counter(x for t in docs.values() for x in set(t.split("\n")))
+        last = {}
+        for d, t in docs.items():
+            last |= {x: max(d, last.get(x, d)) for x in t.split("\n")}
+        want = {d: "\n".join(x for x in t.split("\n") if held[x] < 5 or last[x] == d) for d, t in docs.items()}
+        assert {r["doc_id"]: r["text"] for r in index.apply(frame(docs)).collect()} == want
+
+    for first, last in ((0, 20_000), (15_000, 42_000), (42_000, 60_000)):
+        new = range(at, at + 5)
+        docs |= {d: "\n".join(line(k) for k in range(first, last)) for d in new}
+        at += 5
+        index.insert(frame(new))
+    assert index.shards == 5
+    check()
+    for gone in ([0, 7], [1, 2, 3, 4, 12]):
+        index.delete(spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+        for d in gone:
+            del docs[d]
+        check()
