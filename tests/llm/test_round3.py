@@ -283,3 +283,75 @@ def test_line_index_grows_and_shrinks_with_many_keys_a_shard(spark):
         for d in gone:
             del docs[d]
         check()
+
+
+# pages
+
+
+def _page_without_article(rng: random.Random) -> tuple[str, list[str], list[str]]:
+    """A page of unmarked divs, the lines of its text, and the others."""
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    menu = [words(2) for _ in range(rng.randint(4, 12))]
+    links = lambda items: "".join(f"<div><a href='/{word()}'>{x}</a></div>" for x in items)
+    body = [words(rng.randint(25, 90)) if rng.random() < 0.75 else words(rng.randint(2, 6)) for _ in range(rng.randint(5, 15))]
+    body[0], body[-1] = words(40), words(40)
+    tail = [words(3) for _ in range(rng.randint(4, 10))]
+    small = words(4)
+    html = f"<html><body><div>{small}</div>{links(menu)}" + "".join(f"<{t}>{x}</{t}>" for x in body for t in [rng.choice(["p", "div", "h2"])]) + links(tail) + "</body></html>"
+    return html, body, [*menu, *tail, small]
+
+
+def test_surge_and_dive_on_pages_without_an_article():
+    """All lines of text are found, links around them are not; the spans are those of the definition, tried from every line."""
+    from dialogscope.llm.html_blocks import SURGE, WINDOW, _spans, lines_of, main_text
+
+    rng = random.Random(6)
+    found = wanted = right = 0
+    for _ in range(200):
+        page, body, others = _page_without_article(rng)
+        text = main_text(page)
+        got, want = text.split(), " ".join(body).split()
+        common = sum((Counter(got) & Counter(want)).values())
+        found, wanted, right = found + len(got), wanted + len(want), right + common
+        lines = lines_of(page)
+        own = [n for _, n, _ in lines] + [0] * WINDOW
+        sums = [sum(own[i : i + WINDOW]) for i in range(len(lines))]
+        level = min(SURGE, max(sums) / 2)
+        # a surge: a line with text whose window reaches the level; its dive: the first later window without any
+        runs = {(i, min([j for j in range(i, len(lines)) if not sums[j]], default=len(lines))) for i in range(len(lines)) if own[i] and sums[i] >= level}
+        best = max(runs, key=lambda r: (sum(own[r[0] : r[1]]), -r[0]))
+        while best[0] and own[best[0] - 1]:
+            best = (best[0] - 1, best[1])
+        assert _spans(lines) == [best]
+    assert right / wanted == 1.0 and right / found > 0.99
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>" + "A long first article. " * 10 + "</p></article><article><p>Short update.</p></article>", " ".join(["A long first article."] * 10) + " Short update."),
+        ("<article><p>One line.</p></article><div>" + "unmarked text " * 30 + "</div>", "One line."),
+        ("<article><p title=it's>Hello friends, don't go.</p></article>", "Hello friends, don't go."),
+        ("<article><p title=\"a > b\" data-x='<p>'>1 < 2 and 3 > 2</p><!-- no <p> --></article><p", "1 < 2 and 3 > 2"),
+        ("<article><p class = 'x' hidden>gone</p><p a=b/c>stays</ p></p></article>", "stays"),
+        ("<article><textarea>typed</textarea><p>kept<br/>too</p><script>if (a < b) '</p>'</script> end</article><!-- open", "kept too end"),
+        ("<article><a title=\"never closed>all the rest", ""),
+    ],
+)
+def test_short_articles_odd_quotes_and_cut_tags(page, text):
+    from dialogscope.llm.html_blocks import main_text
+
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<p ", "<p a='", '<p "', "<", "</", "<!-- ", "<a =", "<p a = ", "<p  / ", "&lt;", "<script>", "<p>", "<b>", "<div><b></i>"])
+def test_pages_take_time_in_proportion_to_their_length(piece):
+    import time
+
+    from dialogscope.llm.html_blocks import main_text
+
+    began = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    main_text("<div>" * 100_000 + "x" + "</div></span>" * 100_000)
+    assert time.process_time() - began < 8
