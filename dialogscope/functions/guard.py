@@ -123,11 +123,23 @@ def counters(events: Column) -> Column:
     )
 
 
-def corrections(violations: Column, clauses: dict[str, str], opening: str, closing: str) -> Column:
-    """The message that asks for another try: a clause for each rule, each once, in the order of the rules."""
-    known = F.create_map(*[F.lit(x) for pair in clauses.items() for x in pair])
-    said = F.array_distinct(F.array_compact(F.transform(violations, lambda v: F.element_at(known, v["rule"]))))
-    return F.concat_ws(" ", F.lit(opening), said, F.lit(closing))
+def corrections(
+    violations: Column, clauses: dict[str, str], opening: str, closing: str, *, control: Column | None = None, control_clauses: dict[str, str] | None = None, quote: str = 'The text that broke them: "', most: int = 300
+) -> Column:
+    """The message that asks for another try, a line each: the opening, a clause for each rule, the first evidence, the closing.
+
+    Clauses come in the order of the violations, each text once, rules without one are left out; where ``control`` holds, a rule's
+    clause is that of ``control_clauses``, if it has one. The evidence is the first that isn't empty, cut at ``most`` characters.
+    """
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    usual = lambda v: F.try_element_at(table(clauses), v["rule"])
+    own = usual
+    if control is not None and control_clauses:
+        own = lambda v: F.coalesce(F.when(control & usual(v).isNotNull(), F.try_element_at(table(control_clauses), v["rule"])), usual(v))
+    said = F.array_distinct(F.filter(F.transform(violations, own), lambda c: c.isNotNull()))
+    evidence = F.get(F.filter(F.transform(violations, lambda v: v["evidence"]), lambda e: F.coalesce(e != "", F.lit(False))), F.lit(0))
+    lines = F.concat(F.array(F.lit(opening)), F.transform(said, lambda c: F.concat(F.lit("- "), c)), F.array(F.concat(F.lit(quote), F.left(evidence, F.lit(most)), F.lit('"')), F.lit(closing)))
+    return F.array_join(lines, "\n")  # a missing quote has no line
 
 
 def other_domains(own: Column, domains: list[str]) -> Column:

@@ -126,11 +126,12 @@ def rule_hits(text: Column | str, rules: list[tuple[str, bool, str]] = RULES) ->
 
         return texts.map(hits)
 
-    # only texts with some rule's pattern leave the JVM
+    # Only texts that may have a rule's pattern leave the JVM. On ASCII both dialects agree (with "d", a dot stops at newlines only);
+    # on other characters, and on the four separators that are spaces to Python alone, they don't, so such texts all go.
     none = F.array().cast("array<struct<rule:string,evidence:string>>")
-    some = F.lit(False)
+    some = _c(text).rlike(r"[^\x00-\x1B\x20-\x7F]")
     for _, _, pattern in known:
-        some = some | _c(text).rlike(pattern)
+        some = some | _c(text).rlike("(?d)" + pattern)
     return F.when(F.coalesce(some, F.lit(False)), run(F.when(some, _c(text)))).otherwise(none)
 
 

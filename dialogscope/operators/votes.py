@@ -19,15 +19,17 @@ def _judged(panel: Column) -> Column:
 
 
 def combine(panel: Column, n: Column) -> Column:
-    """struct<init, tod, irn, quote, median, aggregation, splits> of a panel, or null.
+    """struct<init, tod, irn, quote, median, aggregation, splits, failed> of a panel, or null.
 
     ``panel``: array of struct<judge, status, init, tod, irn, quote>, tod and irn null for "NA". Three
     judged seats: the majority on init, the middle ToD (no degradation counts as n + 1), the middle
     response number ("NA" as 3); the quote is the middle seat's if its ToD is the result and not
-    beyond n. Two of three: the stricter of each, with the fields on which they differ. Anything else is
-    no verdict.
+    beyond n. Two of three: the stricter of each, with the fields on which they differ, the quote of the first seat
+    with the resulting ToD, and the seat that failed, whole. ``median`` names the seat that the ToD is from; a panel
+    whose start is wrong has none. Anything else is no verdict.
     """
     ok = _judged(panel)
+    failed = F.get(F.filter(panel, lambda s: ~F.coalesce(s["status"] == "judged", F.lit(False))), F.lit(0))
     coded = F.transform(ok, lambda s: F.when((s["init"] == 1) & (s["tod"] <= n), s["tod"]).otherwise(n + 1))
     order = F.array_sort(F.transform(ok, lambda s, i: F.struct(F.get(coded, i).alias("tod"), i.alias("seat"))))
     irn = F.array_sort(F.transform(ok, lambda s: F.coalesce(s["irn"], F.lit(3))))
@@ -41,23 +43,25 @@ def combine(panel: Column, n: Column) -> Column:
         tod3.alias("tod"),
         F.when(F.get(irn, F.lit(1)) < 3, F.get(irn, F.lit(1))).alias("irn"),
         F.when((init3 == 1) & (seat["init"] == 1) & (seat["tod"] == tod3) & (tod3 <= n), seat["quote"]).otherwise("").alias("quote"),
-        seat["judge"].alias("median"),
+        F.when(init3 == 1, seat["judge"]).alias("median"),
         F.lit("median").alias("aggregation"),
         F.array().cast("array<string>").alias("splits"),
+        F.when(F.lit(False), failed).alias("failed"),
     )
+    first = F.get(ok, F.get(order, F.lit(0))["seat"])
     differ = lambda name, values: F.when(F.size(F.array_distinct(values)) > 1, F.lit(name))
     init2 = F.when(ones == 2, 1).otherwise(0)
     tod2 = F.when(init2 == 1, F.array_min(coded))
     splits = F.array_compact(F.array(differ("init_correct", F.transform(ok, lambda s: s["init"])), differ("ToD", coded), differ("init_response_number", irn)))
-    quote2 = F.get(F.filter(ok, lambda s: (s["init"] == 1) & (s["tod"] == tod2)), F.lit(0))
     two = F.struct(
         init2.alias("init"),
         tod2.alias("tod"),
         F.when(F.get(irn, F.lit(0)) < 3, F.get(irn, F.lit(0))).alias("irn"),
-        F.when((init2 == 1) & (tod2 <= n), F.coalesce(quote2["quote"], F.lit(""))).otherwise("").alias("quote"),
-        F.lit(None).cast("string").alias("median"),
+        F.when((init2 == 1) & (tod2 <= n) & (first["tod"] == tod2), F.coalesce(first["quote"], F.lit(""))).otherwise("").alias("quote"),
+        F.when(init2 == 1, first["judge"]).alias("median"),
         F.lit("two_seat_fallback").alias("aggregation"),
         splits.alias("splits"),
+        failed.alias("failed"),
     )
     return F.when((F.size(panel) == 3) & (F.size(ok) == 3), three).when((F.size(panel) == 3) & (F.size(ok) == 2), two)
 

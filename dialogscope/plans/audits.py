@@ -1,4 +1,4 @@
-"""Queries over two raters of a stratified sample: labelled documents, judged by their length and by the label.
+"""Queries over two raters of a stratified sample (labelled documents, judged by their length and by the label), and over a store of runs.
 
 The panel's start is right where a text has over 200 characters, the other rater's where the document is of quality; degradation
 begins at a turn that follows the length. A stratum is the panel's kind; the population counts all documents as ten of the sample.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialogscope.operators import agreement, rates
+from dialogscope.operators import agreement, rates, sweep
 
 TURNS = 6
 
@@ -42,7 +42,26 @@ def agreement_bootstrap(spark, sf_dir):
     return agreement.bootstrap(agreement.label_cells(rows), _weights(rows), 10_000, 20_260_626)
 
 
-QUERIES = {f.__name__: f for f in (agreement_figures, agreement_bootstrap)}
+def _store(spark, sf_dir):
+    """Orders as records: the run is the year, the arm the status, the family the priority."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("*", F.date_format("o_orderdate", "yyyy").alias("run"), F.col("o_orderstatus").alias("arm"))
+
+
+def store_sweep(spark, sf_dir):
+    """Checks of each arm, one of them for finished orders alone; the key that should be unique is the customer."""
+    checks = {"priced": F.col("o_totalprice") > 2000, "customer": F.col("o_custkey") > 10}
+    return sweep.arm_battery(_store(spark, sf_dir), "o_custkey", checks, {"F": {"finished early": F.col("o_orderdate") < F.lit("1995-06-18")}})
+
+
+def store_index(spark, sf_dir):
+    """Differences from an index that was stored before urgent orders came in."""
+    rows = _store(spark, sf_dir)
+    before = sweep.index_of(rows.where("NOT (o_orderpriority = '1-URGENT' AND month(o_orderdate) = 1)"), "o_orderpriority", "o_orderdate")
+    return sweep.index_differences(before, sweep.index_of(rows, "o_orderpriority", "o_orderdate"))
+
+
+QUERIES = {f.__name__: f for f in (agreement_figures, agreement_bootstrap, store_sweep, store_index)}
 
 
 def _kappa(where: str, a: str, b: str, values: list[str], w: str) -> str:
@@ -79,4 +98,17 @@ def _sql() -> str:
         SELECT {columns} FROM w"""
 
 
-ORACLE_SQL = {"agreement_figures": _sql()}
+_INDEX = """SELECT run, arm, sum(n)::BIGINT AS n, string_agg(o_orderpriority || '=' || n, ',' ORDER BY o_orderpriority) AS families, min(s)::VARCHAR AS started
+            FROM (SELECT run, arm, o_orderpriority, count(*) AS n, min(o_orderdate) AS s FROM {} GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+_STORE = "r AS (SELECT *, strftime(o_orderdate, '%Y') AS run, o_orderstatus AS arm FROM orders)"
+
+ORACLE_SQL = {
+    "agreement_figures": _sql(),
+    "store_sweep": f"""WITH {_STORE}, c AS (SELECT run, arm, count(*) FILTER (NOT coalesce(o_totalprice > 2000, false)) AS priced, count(*) FILTER (NOT coalesce(o_custkey > 10, false)) AS customer,
+            count(*) FILTER (arm = 'F' AND NOT coalesce(o_orderdate < DATE '1995-06-18', false)) AS "finished early" FROM r GROUP BY 1, 2),
+        k AS (SELECT run, arm, 'unique keys' AS "check", count(*) FILTER (n > 1) AS failures FROM (SELECT run, arm, o_custkey, count(*) AS n FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        u AS (SELECT run, arm, "check", failures FROM (UNPIVOT c ON priced, customer, "finished early" INTO NAME "check" VALUE failures) UNION ALL SELECT * FROM k)
+        SELECT *, failures = 0 AS ok FROM u""",
+    "store_index": f"""WITH {_STORE}, e AS (SELECT * FROM r WHERE NOT (o_orderpriority = '1-URGENT' AND month(o_orderdate) = 1)), b AS ({_INDEX.format("r")}), s AS ({_INDEX.format("e")})
+        SELECT *, 'stored' AS "only" FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'built' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM s)""",
+}

@@ -62,9 +62,10 @@ def arm_checks(spark, sf_dir):
 
 
 def prompt_constancy(spark, sf_dir):
-    """Cells are nations; prompts recorded are market segments of customers: one that all share, or several."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("cell"), F.lit("BUILDING").alias("sha"))
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("cell"), F.col("c_mktsegment").alias("sha"))
+    """Cells are two hundred groups of customers in each nation; prompts recorded are their market segments: one that all share, or several."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.explode(F.sequence(F.lit(0), F.lit(199))).alias("part"), "n_nationkey")
+    n = n.select((F.col("n_nationkey") * 1000 + F.col("part")).cast("long").alias("cell"), F.lit("BUILDING").alias("sha"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 200).cast("long").alias("cell"), F.col("c_mktsegment").alias("sha"))
     return verification.constant_hashes(n, c, "cell", "sha")
 
 
@@ -108,8 +109,9 @@ ORACLE_SQL = {
         p AS (SELECT arm, count(*) AS n, list_sort(list(DISTINCT rep)) AS r, list_sort(list(DISTINCT c)) AS c FROM d GROUP BY arm)
         SELECT arm || ' replicates' AS "check", r = range(CASE arm WHEN 'main' THEN 2 ELSE 1 END) AS ok, array_to_string(r, ',') AS detail FROM p
         UNION ALL SELECT arm || ' context', c = [arm = 'context'], array_to_string(c, ',') FROM p UNION ALL SELECT 'total', sum(n) = 300, sum(n)::BIGINT::VARCHAR FROM p""",
-    "prompt_constancy": """WITH s AS (SELECT c_nationkey AS cell, list(DISTINCT c_mktsegment) AS r FROM customer WHERE c_custkey % 50 = 1 GROUP BY 1)
-        SELECT * FROM (SELECT n_nationkey AS cell, CASE WHEN r IS NULL THEN 'unrecorded' WHEN len(r) > 1 THEN 'several' WHEN r[1] <> 'BUILDING' THEN 'changed' END AS problem FROM nation LEFT JOIN s ON n_nationkey = cell) WHERE problem IS NOT NULL""",
+    "prompt_constancy": """WITH s AS (SELECT (c_nationkey * 1000 + c_custkey % 200)::BIGINT AS cell, list(DISTINCT c_mktsegment) AS r FROM customer GROUP BY 1),
+        n AS (SELECT (n_nationkey * 1000 + part)::BIGINT AS cell FROM nation, range(200) AS t(part))
+        SELECT * FROM (SELECT n.cell, CASE WHEN r IS NULL THEN 'unrecorded' WHEN len(r) > 1 THEN 'several' WHEN r[1] <> 'BUILDING' THEN 'changed' END AS problem FROM n LEFT JOIN s USING (cell)) WHERE problem IS NOT NULL""",
     "reply_usage": "SELECT event_type, sum(event_id % 100)::BIGINT AS tokens, count(*) * 0.5::DOUBLE AS cost, 0 AS cached FROM events GROUP BY 1",
     "number_formats": """SELECT n_nationkey, CASE WHEN n_nationkey > 0 THEN format('{:.2f}%', n_nationkey / 61.0::DOUBLE * 100) ELSE '—' END AS share, CASE WHEN n_regionkey <> 0 AND n_nationkey > 0 THEN n_nationkey / 61.0::DOUBLE END AS safe FROM nation""",
 }

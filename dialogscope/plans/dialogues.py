@@ -132,7 +132,7 @@ def _panels(spark, sf_dir):
 
 def panel_votes(spark, sf_dir):
     out = _panels(spark, sf_dir).select("o_orderkey", votes.combine(F.col("panel"), F.lit(8)).alias("v"))
-    return out.select("o_orderkey", *[F.col(f"v.{c}").cast("long").alias(c) for c in ("init", "tod", "irn")], "v.quote", "v.median", "v.aggregation", F.array_join("v.splits", ",").alias("splits"))
+    return out.select("o_orderkey", *[F.col(f"v.{c}").cast("long").alias(c) for c in ("init", "tod", "irn")], "v.quote", "v.median", "v.aggregation", F.array_join("v.splits", ",").alias("splits"), F.col("v.failed.judge").alias("failed"))
 
 
 def panel_agreement(spark, sf_dir):
@@ -357,7 +357,7 @@ ORACLE_SQL = {
         v AS (SELECT *, CASE WHEN m = 3 THEN (ones >= 2)::INT ELSE (ones = 2)::INT END AS vi, CASE WHEN m = 3 THEN c[2] ELSE c[1] END AS vt, CASE WHEN m = 3 THEN r[2] ELSE r[1] END AS vr FROM g WHERE m >= 2)
         SELECT o.o_orderkey, vi AS init, CASE WHEN vi = 1 THEN vt END AS tod, CASE WHEN vr < 3 THEN vr END AS irn,
             CASE WHEN m IS NULL THEN NULL WHEN vi = 1 AND vt <= 8 THEN coalesce((SELECT j.quote FROM j WHERE j.o_orderkey = o.o_orderkey AND NOT j.bad AND j.tod = vt AND (m = 2 OR j.i = seat[2]) ORDER BY j.i LIMIT 1), '') ELSE '' END AS quote,
-            CASE WHEN m = 3 THEN 'judge' || seat[2] END AS median, CASE m WHEN 3 THEN 'median' WHEN 2 THEN 'two_seat_fallback' END AS aggregation,
+            CASE WHEN vi = 1 AND m = 3 THEN 'judge' || seat[2] WHEN vi = 1 THEN 'judge' || seat[1] END AS median, CASE WHEN m = 2 THEN 'judge' || (SELECT j.i FROM j WHERE j.o_orderkey = o.o_orderkey AND j.bad) END AS failed, CASE m WHEN 3 THEN 'median' WHEN 2 THEN 'two_seat_fallback' END AS aggregation,
             CASE WHEN m = 3 THEN '' WHEN m = 2 THEN array_to_string(list_filter([CASE WHEN di > 1 THEN 'init_correct' END, CASE WHEN dt > 1 THEN 'ToD' END, CASE WHEN dr > 1 THEN 'init_response_number' END], lambda x: x IS NOT NULL), ',') END AS splits
         FROM orders o LEFT JOIN v USING (o_orderkey)""",
     "panel_agreement": f"""WITH {_SEATS}, g AS (SELECT o_orderkey, count(DISTINCT init) FILTER (NOT bad) = 1 AS init_unanimous, count(tod) FILTER (NOT bad AND init = 1) AS tod_votes,

@@ -68,7 +68,15 @@ def test_counters_and_corrections(spark):
     a, b = (r[0].asDict() for r in df.select(G.counters(F.col("e"))).collect())
     assert a == {"n_flagged": 2, "n_cured": 1, "patient_violation": True, "flag_accepted_after": [5]} and b["n_flagged"] == 0 and not b["patient_violation"]
     v = spark.createDataFrame([([("d", "A", ""), ("d", "B", ""), ("d", "A", ""), ("d", "Z", "")],)], f"v {G.VIOLATION}")
-    assert v.select(G.corrections(F.col("v"), {"A": "no a.", "B": "no b."}, "Again:", "Go on.")).first()[0] == "Again: no a. no b. Go on."
+    clauses = {"A": "no a.", "B": "no b."}
+    assert v.select(G.corrections(F.col("v"), clauses, "Again:", "Go on.")).first()[0] == "Again:\n- no a.\n- no b.\nGo on."
+    rows = [([("d", "A", ""), ("d", "B", "x" * 400), ("d", "Z", "later")], True), ([("d", "Z", "q"), ("d", "B", None)], False), ([], True), ([("d", "Z", "only")], True)]
+    v = spark.createDataFrame(rows, f"v {G.VIOLATION}, c boolean")
+    # in a control A and B share a text, and Z, which has no clause, gets none
+    found = [r[0] for r in v.select(G.corrections(F.col("v"), clauses, "Again:", "Go on.", control=F.col("c"), control_clauses={"A": "nothing stands in your way.", "B": "nothing stands in your way.", "Z": "never"})).collect()]
+    assert found[0].split("\n") == ["Again:", "- nothing stands in your way.", 'The text that broke them: "' + "x" * 300 + '"', "Go on."]
+    assert found[1] == 'Again:\n- no b.\nThe text that broke them: "q"\nGo on.'
+    assert found[2:] == ["Again:\nGo on.", 'Again:\nThe text that broke them: "only"\nGo on.']
     assert v.select(G.other_domains(F.lit("work"), ["cost", "work", "fear"])).first()[0] == "cost, fear"
 
 
