@@ -51,25 +51,35 @@ def _hash(value: str) -> str:
 def _anchors(chunk: str, base: str, k: int, s: int) -> str:
     """SQL for the array of (h, p) of the closed syncmers of a binary value that begins at ``base``."""
     last = k - s
-    first_least = " AND ".join(f"h[i] <= h[i + {j}]" for j in range(1, last + 1))
-    last_least = " AND ".join(f"h[i + {last}] <= h[i + {j}]" for j in range(last - 1, -1, -1))
-    closed = f"filter(sequence(0, length(x) - {k}), i -> ({first_least}) OR ({last_least}))"
-    found = f"transform({closed}, i -> struct({_hash(f'substring(x, i + 1, {k})')} AS h, {base} + i AS p))"
+    first_least = " AND ".join(f"v <= h[i + {j}]" for j in range(1, last + 1))
+    last_least = " AND ".join(f"v <= h[i - {j}]" for j in range(1, last + 1))
+    # of the inner substring at i: whether it is the least of those from i on (of the k-mer at i), or of those up to it
+    begins = f"transform(h, (v, i) -> IF(i + {last} < size(h) AND {first_least}, i, NULL))"
+    ends = f"transform(h, (v, i) -> IF(i >= {last} AND {last_least}, i - {last}, NULL))"
+    found = f"transform(array_distinct(array_compact(concat({begins}, {ends}))), i -> struct({_hash(f'substring(x, i + 1, {k})')} AS h, {base} + i AS p))"
     inner = f"transform(sequence(1, length(x) - {s - 1}), i -> xxhash64(substring(x, i, {s})))"
     return _let(chunk, "x", f"IF(length(x) >= {k}, {_let(inner, 'h', found)}, CAST(array() AS array<struct<h: bigint, p: int>>))")
 
 
+def _sorted(anchors: str) -> str:
+    """SQL for the anchors by hash, the first of each hash."""
+    return _let(f"sort_array({anchors})", "a", "filter(a, (y, j) -> j = 0 OR y.h <> a[j - 1].h)")
+
+
 def _least(anchors: str, sketch: int) -> str:
     """SQL for the anchors with the smallest hashes, the first of each hash."""
-    return _let(f"sort_array({anchors})", "a", f"slice(filter(a, (y, j) -> j = 0 OR y.h <> a[j - 1].h), 1, {sketch})")
+    return f"slice({_sorted(anchors)}, 1, {sketch})"
 
 
 def sketches(data: str, ends: list[str], k: int = K, s: int = S, sketch: int = SKETCH, chunk: int = CHUNK) -> F.Column:
     """For each of ``ends`` (columns, in bytes) the least anchors of the binary column ``data`` up to there, in one pass over it."""
-    parts = ", ".join(f"{_least(f'filter(b, y -> y.p + {k} <= {end})', sketch)} AS e{n}" for n, end in enumerate(ends))
-    each = _let(_anchors(f"substring({data}, {chunk} * c + 1, {chunk + k - 1})", f"{chunk} * c", k, s), "b", f"struct({parts})")
+    # the first anchor of a hash is the last to go when a text is cut
+    parts = ", ".join(f"slice(filter(b, y -> y.p + {k} <= {end}), 1, {sketch}) AS e{n}" for n, end in enumerate(ends))
+    found = _sorted(_anchors(f"substring({data}, {chunk} * c + 1, {chunk + k - 1})", f"{chunk} * c", k, s))
+    each = _let(found, "b", f"struct({parts})")
     chunks = f"transform(sequence(0, greatest(length({data}) - {k}, 0) DIV {chunk}), c -> {each})"
-    return F.expr(_let(chunks, "w", f"struct({', '.join(_least(f'flatten(w.e{n})', sketch) + f' AS e{n}' for n in range(len(ends)))})"))
+    whole = ", ".join(f"IF(size(w) = 1, w[0].e{n}, {_least(f'flatten(w.e{n})', sketch)}) AS e{n}" for n in range(len(ends)))
+    return F.expr(_let(chunks, "w", f"struct({whole})"))
 
 
 def _or_all(anchors: str, data: str) -> F.Column:
@@ -81,10 +91,13 @@ def _or_all(anchors: str, data: str) -> F.Column:
 def likeness(one: str, other: str, sketch: int = SKETCH) -> F.Column:
     """The likeness of two columns of least anchors."""
     bound = lambda c: f"IF(size({c}) < {sketch}, 281474976710655, element_at({c}, -1).h)"  # noqa: E731  the largest hash
-    offsets = "sort_array(transform(filter(a, y -> array_contains(b.h, y.h)), y -> y.p - map_from_entries(b)[y.h]))"
+    # both are in the order of their hashes, and so are the two lists of what they share
+    shared = lambda c: f"filter({c}, y -> array_contains(g, y.h))"
+    pairs = f"IF(size(g) = 0, CAST(array() AS array<int>), zip_with({shared('a')}, {shared('b')}, (y, z) -> y.p - z.p))"
+    offsets = _let("array_intersect(a.h, b.h)", "g", f"sort_array({pairs})")
     on_line = "size(filter(d, (y, j) -> y <=> get(d, j - 1) OR y <=> get(d, j + 1)))"
     matches = _let(offsets, "d", f"greatest({on_line}, least(size(d), 1))")
-    share = f"IF(size(a) + size(b) = 0, 1D, 2D * {matches} / (size(a) + size(b)))"
+    share = f"CASE WHEN a = b THEN 1D ELSE 2D * {matches} / (size(a) + size(b)) END"
     within = lambda c: f"filter({c}, y -> y.h <= m)"
     return F.expr(_let(f"least({bound(one)}, {bound(other)})", "m", _let(within(one), "a", _let(within(other), "b", share))))
 
