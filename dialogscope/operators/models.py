@@ -1,7 +1,8 @@
 """Logistic models on collapsed counts: Spark groups the rows, numpy fits a few hundred cells.
 
 The rows collapse to (cluster, design row) -> (k, n); the number of cells follows the design and the
-clusters, not the rows. One model is one group of ``applyInPandas``, so families are fitted side by side.
+clusters, not the rows. In ``fit`` one model is one group of ``applyInPandas``, so families are fitted side by side;
+``spread_models.fit`` fits one model whose clusters lie in many tasks.
 """
 
 from __future__ import annotations
@@ -81,52 +82,74 @@ def exchangeable(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarra
     return beta, bread @ meat @ bread
 
 
-def _maximize(loglik, theta: np.ndarray, low: np.ndarray, high: np.ndarray, e: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def maximize(logliks, theta: np.ndarray, low: np.ndarray, high: np.ndarray, e: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Newton steps on central differences, halved until the value rises: the place, standard errors, the value.
 
+    ``logliks`` gives the values at the rows of a matrix of places, so that all places of a step are asked for at once.
     Errors are NaN where the Hessian is singular or not negative there.
     """
+    m = len(theta)
+    eye = np.eye(m) * e
+    pairs = [(i, j) for i in range(m) for j in range(i)]
+    around = np.array([np.zeros(m), *eye, *-eye, *[s * eye[i] + t * eye[j] for i, j in pairs for s, t in ((1, 1), (1, -1), (-1, 1), (-1, -1))]])
+    sizes = 0.5 ** np.arange(20)
+
+    def derivatives(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        values = logliks(theta + around)
+        mid, up, down = values[0], values[1 : m + 1], values[m + 1 : 2 * m + 1]
+        hess = np.diag((up - 2 * mid + down) / e**2)
+        for (i, j), (pp, pm, mp, mm) in zip(pairs, values[2 * m + 1 :].reshape(-1, 4), strict=True):
+            hess[i, j] = hess[j, i] = (pp - pm - mp + mm) / (4 * e**2)
+        return mid, (up - down) / (2 * e), hess
 
-    def derivatives(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, eye, mid = len(theta), np.eye(len(theta)) * e, loglik(theta)
-        up, down = [loglik(theta + d) for d in eye], [loglik(theta - d) for d in eye]
-        hess = np.diag((np.array(up) - 2 * mid + down) / e**2)
-        for i in range(m):
-            for j in range(i):
-                a, b = eye[i], eye[j]
-                hess[i, j] = hess[j, i] = (loglik(theta + a + b) - loglik(theta + a - b) - loglik(theta - a + b) + loglik(theta - a - b)) / (4 * e**2)
-        return (np.array(up) - down) / (2 * e), hess
-
-    best = loglik(theta)
     for _ in range(100):
-        grad, hess = derivatives(theta)
+        best, grad, hess = derivatives(theta)
         values, vectors = np.linalg.eigh(hess)
         step = np.clip(vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3)), -2, 2)
-        size = 1.0
-        while size > 1e-6 and loglik(np.clip(theta + size * step, low, high)) <= best:
-            size /= 2
-        if size <= 1e-6:
+        rises = False
+        for some in (sizes[:1], sizes[1:]):  # a whole step is enough mostly
+            places = np.clip(theta + some[:, None] * step, low, high)
+            tried = logliks(places)
+            if rises := (tried > best).any():
+                first = int(np.argmax(tried > best))
+                theta, gain = places[first], tried[first] - best
+                break
+        if not rises or gain < 1e-10:
             break
-        theta = np.clip(theta + size * step, low, high)
-        before, best = best, loglik(theta)
-        if best - before < 1e-10:
-            break
-    _, hess = derivatives(theta)
+    best, _, hess = derivatives(theta)
     if np.linalg.cond(hess) > 1e12:
-        return theta, np.full(len(theta), np.nan), best
+        return theta, np.full(m, np.nan), best
     variance = np.diag(np.linalg.inv(-hess))
     return theta, np.sqrt(np.where(variance > 0, variance, np.nan)), best
 
 
+def _each(loglik):
+    return lambda places: np.array([loglik(p) for p in places])
+
+
 def _mixed(x, k, n, of, clusters: int, shifts, weights) -> float:
     """Log-likelihood of grouped binary rows, integrated over a cluster's shift: a row per cell, a column per node."""
+    return float(per_cluster(x, k, n, of, clusters, shifts, weights).sum())
+
+
+def per_cluster(x, k, n, of, clusters: int, shifts, weights) -> np.ndarray:
     eta = x[:, None] + shifts
     logp = k[:, None] * -np.logaddexp(0, -eta) + (n - k)[:, None] * -np.logaddexp(0, eta)
     per = np.zeros((clusters, eta.shape[1]))
     np.add.at(per, of, logp)
     per += weights[None, :]
     top = per.max(1, keepdims=True)
-    return float((top[:, 0] + np.log(np.exp(per - top).sum(1))).sum())
+    return top[:, 0] + np.log(np.exp(per - top).sum(1))
+
+
+def intercept_shifts(theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return math.sqrt(2) * math.exp(theta[-1]) * at[None, :]
+
+
+def slope_shifts(theta: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    s0, s1, rho = math.exp(theta[-3]), math.exp(theta[-2]), math.tanh(theta[-1])
+    u1 = s1 * (rho * a + math.sqrt(1 - rho * rho) * b)
+    return math.sqrt(2) * (s0 * a[None, :] + x[:, 1:2] * u1[None, :])
 
 
 def random_intercept(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarray, nodes: int = NODES, ridge: float | None = None):
@@ -140,12 +163,12 @@ def random_intercept(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.nd
     logw = np.log(weight) - 0.5 * math.log(math.pi)
 
     def loglik(theta: np.ndarray) -> float:
-        total = _mixed(x @ theta[:-1], k, n, of, len(names), math.sqrt(2) * math.exp(theta[-1]) * at[None, :], logw)
+        total = _mixed(x @ theta[:-1], k, n, of, len(names), intercept_shifts(theta, at), logw)
         return total - (0.5 * (theta[1:-1] ** 2).sum() / ridge**2 if ridge else 0.0)
 
     start = np.append(logit(x, k, n, ridge or 5.0), math.log(0.5))
     bound = np.append(np.full(x.shape[1], 25.0), 4.0)
-    theta, se, best = _maximize(loglik, start, np.append(-bound[:-1], -6.0), bound)
+    theta, se, best = maximize(_each(loglik), start, np.append(-bound[:-1], -6.0), bound)
     return theta[:-1], se[:-1], math.exp(theta[-1]), best
 
 
@@ -157,19 +180,29 @@ def random_slope(x: np.ndarray, k: np.ndarray, n: np.ndarray, cluster: np.ndarra
     names, of = np.unique(cluster, return_inverse=True)
 
     def loglik(theta: np.ndarray) -> float:
-        s0, s1, rho = math.exp(theta[-3]), math.exp(theta[-2]), math.tanh(theta[-1])
-        u1 = s1 * (rho * a + math.sqrt(1 - rho * rho) * b)
-        return _mixed(x @ theta[:-3], k, n, of, len(names), math.sqrt(2) * (s0 * a[None, :] + x[:, 1:2] * u1[None, :]), logw)
+        return _mixed(x @ theta[:-3], k, n, of, len(names), slope_shifts(theta, x, a, b), logw)
 
     start = np.concatenate([logit(x, k, n, 5.0), [math.log(0.5), math.log(0.5), 0.0]])
     bound = np.concatenate([np.full(x.shape[1], 25.0), [4.0, 4.0, 3.0]])
-    theta, se, best = _maximize(loglik, start, np.concatenate([-bound[:-3], [-6.0, -6.0, -3.0]]), bound)
+    theta, se, best = maximize(_each(loglik), start, np.concatenate([-bound[:-3], [-6.0, -6.0, -3.0]]), bound)
     return theta[:-3], se[:-3], math.exp(theta[-3]), best
 
 
 FITTED = "term string, beta double, se double, odds double, odds_lo double, odds_hi double, p double, sd double, loglik double, error string"
 
 
+def summary(terms: list[str], beta: np.ndarray, se: np.ndarray, sd: float | None, loglik: float | None) -> list[list]:
+    """The rows of ``FITTED`` of one model; a coefficient without a standard error has no interval and no p."""
+    exp = lambda v: math.exp(v) if v < 709 else math.inf
+    rows = []
+    for name, b, s in zip(["(intercept)", *terms], map(float, beta), map(float, se), strict=True):
+        z = abs(b) / s if s and s == s else float("nan")
+        p = math.erfc(z / math.sqrt(2)) if z == z else None
+        ok = s == s
+        rows.append([name, b, s if ok else None, exp(b), exp(b - 1.959963984540054 * s) if ok else None, exp(b + 1.959963984540054 * s) if ok else None, p, sd, loglik, None])
+    return rows
+
+
 def fit(cells: DataFrame, by: list[str], terms: list[str], model: str, ridge: float | None = None) -> DataFrame:
     """A row per group and term. ``model``: "logit" (cluster-robust), "gee", "glmm" or "slope"; a failure is a row with its error."""
 
@@ -192,13 +225,7 @@ def fit(cells: DataFrame, by: list[str], terms: list[str], model: str, ridge: fl
                 se = np.sqrt(np.maximum(np.diag(cov), 0))
         except (np.linalg.LinAlgError, FloatingPointError, ValueError) as e:
             return pd.DataFrame([[*key, "(intercept)", *[None] * 8, str(e)]], columns=[*by, *[f.split()[0] for f in FITTED.split(", ")]])
-        rows = []
-        for name, b, s in zip(["(intercept)", *terms], beta, se, strict=True):
-            z = abs(b) / s if s and s == s else float("nan")
-            p = math.erfc(z / math.sqrt(2)) if z == z else None
-            ok = s == s
-            rows.append([*key, name, b, s if ok else None, math.exp(b), math.exp(b - 1.959963984540054 * s) if ok else None, math.exp(b + 1.959963984540054 * s) if ok else None, p, sd, loglik, None])
-        return pd.DataFrame(rows, columns=[*by, *[f.split()[0] for f in FITTED.split(", ")]])
+        return pd.DataFrame([[*key, *r] for r in summary(terms, beta, se, sd, loglik)], columns=[*by, *[f.split()[0] for f in FITTED.split(", ")]])
 
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), FITTED])

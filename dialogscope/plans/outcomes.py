@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dialogscope.functions import exact
 from dialogscope.functions import intervals as I
-from dialogscope.operators import models, rates, resampling, sets
+from dialogscope.operators import models, rates, resampling, sets, spread_models
 
 CONTROL = "en"
 LAST = 8
@@ -213,6 +213,13 @@ def glmm_intercept(spark, sf_dir):
     return models.fit(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "glmm")
 
 
+def glmm_customers(spark, sf_dir):
+    """Clusters are customers, over many tasks: whether an order is large, by its urgency."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("all", F.lit("all"))
+    cells = models.collapse(rows, "o_custkey", {"urgent": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")}, F.col("o_totalprice") > 150_000, ["all"])
+    return spread_models.fit(cells, ["urgent"], "glmm")
+
+
 def glmm_slope(spark, sf_dir):
     return models.fit(_cells(spark, sf_dir, ["all"]), ["all"], ["structural"], "slope")
 
@@ -256,7 +263,7 @@ QUERIES = {
     for f in (
         primary_contrast, rates_by_dim, cell_matrix, wilson_by_family, accounting, pooled_contrast, chi2_omnibus, chi2_p, holm_family, tod_hist, tod_quantiles, resistance_curve, hazard,
         mcnemar_pairs, rate_ratio, mde, kappa_raw, kappa_weighted, stratified_weights, weakest_group, decision_rule, cost_estimate, cluster_bootstrap, paired_bootstrap,
-        stratified_bootstrap, glmm_intercept, glmm_slope, glmm_likelihood_ratio, gee_exchangeable, logit_cluster_robust, glmm_by_family, diversity_sample, quota_sample,
+        stratified_bootstrap, glmm_intercept, glmm_customers, glmm_slope, glmm_likelihood_ratio, gee_exchangeable, logit_cluster_robust, glmm_by_family, diversity_sample, quota_sample,
     )
 }
 
