@@ -51,12 +51,12 @@ def _hash(value: str) -> str:
 def _anchors(chunk: str, base: str, k: int, s: int) -> str:
     """SQL for the array of (h, p) of the closed syncmers of a binary value that begins at ``base``."""
     last = k - s
-    first_least = " AND ".join(f"v <= h[i + {j}]" for j in range(1, last + 1))
-    last_least = " AND ".join(f"v <= h[i - {j}]" for j in range(1, last + 1))
-    # of the inner substring at i: whether it is the least of those from i on (of the k-mer at i), or of those up to it
-    begins = f"transform(h, (v, i) -> IF(i + {last} < size(h) AND {first_least}, i, NULL))"
-    ends = f"transform(h, (v, i) -> IF(i >= {last} AND {last_least}, i - {last}, NULL))"
-    found = f"transform(array_distinct(array_compact(concat({begins}, {ends}))), i -> struct({_hash(f'substring(x, i + 1, {k})')} AS h, {base} + i AS p))"
+    first_least = " AND ".join(f"v <= h[i + {j}]" for j in range(1, last))
+    last_least = " AND ".join(f"h[i + {last}] <= h[i + {j}]" for j in range(last - 1, 0, -1))
+    # where the last is greater than the first, only the first can be the least, and where both are equal one test serves for both
+    closed = f"i + {last} < size(h) AND IF(v > h[i + {last}], {last_least}, {first_least})"
+    marks = f"array_compact(transform(h, (v, i) -> IF({closed}, i, NULL)))"
+    found = f"transform({marks}, i -> struct({_hash(f'substring(x, i + 1, {k})')} AS h, {base} + i AS p))"
     inner = f"transform(sequence(1, length(x) - {s - 1}), i -> xxhash64(substring(x, i, {s})))"
     return _let(chunk, "x", f"IF(length(x) >= {k}, {_let(inner, 'h', found)}, CAST(array() AS array<struct<h: bigint, p: int>>))")
 
@@ -71,10 +71,12 @@ def _least(anchors: str, sketch: int) -> str:
     return f"slice({_sorted(anchors)}, 1, {sketch})"
 
 
-def sketches(data: str, ends: list[str], k: int = K, s: int = S, sketch: int = SKETCH, chunk: int = CHUNK) -> F.Column:
-    """For each of ``ends`` (columns, in bytes) the least anchors of the binary column ``data`` up to there, in one pass over it."""
+def sketches(data: str, ends: list[str | None], k: int = K, s: int = S, sketch: int = SKETCH, chunk: int = CHUNK) -> F.Column:
+    """For each of ``ends`` (columns, in bytes; None: all) the least anchors of the binary column ``data`` up to there, in one pass over it."""
     # the first anchor of a hash is the last to go when a text is cut
-    parts = ", ".join(f"slice(filter(b, y -> y.p + {k} <= {end}), 1, {sketch}) AS e{n}" for n, end in enumerate(ends))
+    begin, stop = f"{chunk} * c", f"{chunk} * c + {chunk + k - 1}"
+    cut = lambda end: f"CASE WHEN {stop} <= {end} THEN b WHEN {begin} >= {end} THEN slice(b, 1, 0) ELSE filter(b, y -> y.p + {k} <= {end}) END"
+    parts = ", ".join(f"slice({'b' if end is None else cut(end)}, 1, {sketch}) AS e{n}" for n, end in enumerate(ends))
     found = _sorted(_anchors(f"substring({data}, {chunk} * c + 1, {chunk + k - 1})", f"{chunk} * c", k, s))
     each = _let(found, "b", f"struct({parts})")
     chunks = f"transform(sequence(0, greatest(length({data}) - {k}, 0) DIV {chunk}), c -> {each})"
@@ -110,7 +112,7 @@ def written(anchors: str) -> F.Column:
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH) -> DataFrame:
     """doc_id, n_chars and fingerprint of every text."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("data", F.col("text").cast("binary"))
-    found = texts.withColumn("found", sketches("data", ["length(data)"], k, s, sketch)).withColumn("own", _or_all("found.e0", "data"))
+    found = texts.withColumn("found", sketches("data", [None], k, s, sketch)).withColumn("own", _or_all("found.e0", "data"))
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), written("own").alias("fingerprint"))
 
 
@@ -147,7 +149,7 @@ def edited_pairs(docs: DataFrame, k: int = K, s: int = S, sketch: int = SKETCH)
     kept = F.expr("left(text, n_chars - n_chars DIV 3)")
     lent = F.expr("left(text, coalesce(borrower, 0) DIV 3)")  # what the document before takes
     rows = dealt.withColumn("borrower", F.lag("n_chars").over(along)).withColumns({"data": F.col("text").cast("binary"), "kept": kept.cast("binary"), "lent": lent.cast("binary")})
-    rows = rows.withColumn("found", sketches("data", ["length(data)", "length(kept)", "length(lent)"], k, s, sketch)).withColumn("own", _or_all("found.e0", "data"))
+    rows = rows.withColumn("found", sketches("data", [None, "length(kept)", "length(lent)"], k, s, sketch)).withColumn("own", _or_all("found.e0", "data"))
     rows = rows.select("doc_id", "n_chars", "range", "guest", "order", "kept", "lent", "own", F.col("found.e1").alias("in_kept"), F.col("found.e2").alias("in_lent"))
     after = {f"next_{c}": F.lead(c).over(along) for c in ("lent", "own", "in_lent")}
     rows = rows.withColumns(after).where("not guest").withColumn("edited", F.concat("kept", "next_lent"))
