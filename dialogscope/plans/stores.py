@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialogscope.operators import rejudging, verification
+from dialogscope.operators import rejudging, verification, views
 from dialogscope.sources import documents, names
 
 CAP = 20_000.0
@@ -69,13 +69,26 @@ def near_part_names(spark, sf_dir):
     return names.near_names(parts, "name", asked)
 
 
-QUERIES = {f.__name__: f for f in (rejudge_merge, rejudge_summary, nested_messages, configuration_errors, near_part_names)}
+def event_views(spark, sf_dir):
+    """Every document as the draft, the error and the evidence (its lines) of a guard event, as it is shown."""
+    lines = F.expr("to_variant_object(split(text, '\n'))")
+    absent = {c: F.lit(None).cast("string") for c in ("outcome", "rejected_text", "correction")}
+    absent |= {"rejected_cost": F.lit(None).cast("double"), "resample": F.to_variant_object(F.struct(F.col("text").alias("accepted_text"))), "violations": F.lit(None).cast("array<struct<layer:string,rule:string,evidence:string>>")}
+    e = F.struct(F.lit("regenerated").alias("kind"), F.lit(1).alias("after_response"), F.lit(0).alias("attempt"), F.col("lang").alias("rule"), F.col("text").alias("error"), F.col("text").alias("candidate"), lines.alias("evidence"), *[v.alias(c) for c, v in absent.items()])
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", views.events(F.array(e))[0].alias("e"))
+    sha = lambda c, name: F.sha2(c, 256).alias(name)
+    return d.select("doc_id", F.col("e.rule").alias("rule"), sha("e.candidate", "candidate"), sha("e.error", "error"), sha("e.resample.accepted_text", "accepted"), sha(F.array_join("e.evidence", "\n"), "evidence"))
+
+
+QUERIES = {f.__name__: f for f in (event_views, rejudge_merge, rejudge_summary, nested_messages, configuration_errors, near_part_names)}
 
 _MERGED = f"""WITH l AS (SELECT l_orderkey, max(l_returnflag) AS mode, sum(l_quantity) AS cost FROM lineitem GROUP BY 1),
     t AS (SELECT o_orderkey, o_orderpriority AS old, mode, cost, o_custkey % 10 = 7 AS bad, o_orderstatus <> 'P' AND o_orderpriority IN ('1-URGENT', '5-LOW') AS wanted FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
     s AS (SELECT *, coalesce(sum(CASE WHEN wanted THEN coalesce(cost, 0) ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM t),
     m AS (SELECT *, CASE WHEN NOT wanted THEN 'untouched' WHEN spent >= {CAP} THEN 'deferred' WHEN mode IS NULL OR bad THEN 'failed' ELSE 'rejudged' END AS outcome FROM s)"""
 ORACLE_SQL = {
+    "event_views": """SELECT doc_id, lang AS rule, sha256(left(text, 4000)) AS candidate, sha256(left(text, 600)) AS error, sha256(left(text, 4000)) AS accepted,
+        sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 600)), chr(10))) AS evidence FROM documents""",
     "rejudge_merge": f"""{_MERGED} SELECT o_orderkey, CASE WHEN outcome = 'rejudged' THEN mode ELSE old END AS judgment, outcome,
         CASE WHEN outcome = 'failed' THEN CASE WHEN mode IS NULL THEN 'no judgment' ELSE 'upstream' END END AS error, spent::DOUBLE AS spent FROM m""",
     "rejudge_summary": f"""{_MERGED} SELECT count(*) AS records, count(*) FILTER (outcome <> 'untouched') AS targets, count(*) FILTER (outcome = 'rejudged') AS rejudged, count(*) FILTER (outcome = 'failed') AS failed,

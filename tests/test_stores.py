@@ -4,8 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dialogscope.operators import rejudging
+from dialogscope.operators import rejudging, views
 from dialogscope.sources import documents, names
+from dialogscope.sources import records as S
 
 DOCUMENTS = [
     "a: |\n  x\n   y\n\n  z\n\nb: >\n  one\n  two\n\n  three\nc: >-\n  k\n  l\nd: |+\n  t\n\ne: 1\n",
@@ -145,3 +146,28 @@ def test_rejudging_refuses_and_empty_tables(spark):
     rejudging.require_vignettes(with_vignette, F.lit(False), known)
     with pytest.raises(ValueError, match="002"):
         rejudging.require_vignettes(with_vignette, F.lit(True), known)
+
+
+def test_views_of_records(spark, tmp_path):
+    long = "é" * 5000
+    seat = {"judge_provider": "p", "judge_model": "m", "status": "judged", "init_correct": 1, "init_response_number": 2, "ToD": "NA", "raw": long, "error": long}
+    odd = {"init_correct": "1", "ToD": 4}
+    event = {"kind": "flagged", "attempt": 1, "error": long, "candidate": long, "evidence": [long, "b"], "violations": [{"layer": "l", "rule": "r", "evidence": long}], "resample": {"accepted_text": long, "violations": [{"rule": "x", "evidence": long}]}}
+    rows = [
+        {"conversation_id": "a", "judgment": {"panel": [seat, odd]}, "metadata": {"guard": {"enabled": True, "n_flagged": 2, "events": [event, {"kind": "k", "evidence": long, "resample": "empty" + long}, {"kind": "n"}]}}},
+        {"conversation_id": "b", "judgment": None, "metadata": {"guard": {"enabled": False, "events": [event]}}}, {"conversation_id": "c"},
+    ]
+    path = tmp_path / "r.jsonl"
+    path.write_text("\n".join(map(json.dumps, rows)))
+    shown = views.record_views(S.load_records(spark, str(path))).orderBy("conversation_id").collect()
+    a, b, c = (r.asDict(recursive=True) for r in shown)
+    assert b["guard"] is None and c["guard"] is None and b["panel"] == c["panel"] == []
+    first, second = a["panel"]
+    assert (first["init"], first["tod"], first["quote"], len(first["error"])) == (1, None, "", 300) and "raw" not in first
+    assert (second["init"], second["tod"], second["error"]) == (None, 4, None)
+    one, two, three = a["guard"]["events"]
+    assert [len(x) for x in one["evidence"]] == [600, 1] and len(one["error"]) == 600 and len(one["candidate"]) == 4000 and len(one["violations"][0]["evidence"]) == 600
+    assert len(one["resample"]["accepted_text"]) == 4000 and len(one["resample"]["violations"][0]["evidence"]) == 600 and one["note"] is None
+    assert [len(x) for x in two["evidence"]] == [600] and two["resample"] is None and len(two["note"]) == 300 and two["note"].startswith("empty")
+    assert three["evidence"] is None and three["resample"] is None and three["note"] is None and three["violations"] == []
+    assert (a["guard"]["n_flagged"], a["guard"]["n_cured"], a["guard"]["violation"], a["guard"]["flag_turns"]) == (2, 0, False, [])
