@@ -77,3 +77,24 @@ def first_free_ordinal(used: DataFrame, ordinal: str = "n") -> DataFrame:
     taken = used.where(F.col(ordinal) >= 2).select(F.col(ordinal).alias("n")).distinct()
     after = taken.select((F.col("n") + 1).alias("n")).union(used.sparkSession.range(2, 3).select(F.col("id").alias("n")))
     return after.join(taken, "n", "left_anti").agg(F.min("n").alias("n"))
+
+
+# Fixed value: the order in which arms run.
+ARM_ORDER = ["main", "context"]
+
+
+def arm_states(expected: DataFrame, finished: DataFrame, key: str, arm: str = "arm") -> DataFrame:
+    """(arm, expected, missing, complete): how many distinct cells of each arm are neither done nor failed for good."""
+    done = finished.select(arm, key).distinct().withColumn("__done", F.lit(True))
+    joined = expected.select(arm, key).distinct().join(done, [arm, key], "left")
+    return joined.groupBy(arm).agg(F.count("*").alias("expected"), F.count_if(F.col("__done").isNull()).alias("missing")).withColumn("complete", F.col("missing") == 0)
+
+
+def arms_to_continue(states: DataFrame, requested: list[str] | None = None, arm: str = "arm") -> list[str]:
+    """The incomplete arms in their order; a request narrows them, and one for an arm that doesn't exist or was never begun is an error."""
+    complete = {r[arm]: r["complete"] for r in states.where(F.col(arm).isin(ARM_ORDER)).select(arm, "complete").collect()}  # a row an arm
+    unknown = [a for a in requested or [] if a not in ARM_ORDER]
+    never = [a for a in requested or [] if a not in complete]
+    if unknown or never:
+        raise ValueError(f"unknown arms {unknown}; the arms are {ARM_ORDER}" if unknown else f"arms that the run never had: {never}")
+    return [a for a in ARM_ORDER if a in complete and not complete[a] and (requested is None or a in requested)]

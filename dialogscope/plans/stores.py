@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialogscope.operators import rejudging, verification, views
+from dialogscope.operators import rejudging, sets, verification, views
 from dialogscope.sources import documents, names
 
 CAP = 20_000.0
@@ -80,13 +80,44 @@ def event_views(spark, sf_dir):
     return d.select("doc_id", F.col("e.rule").alias("rule"), sha("e.candidate", "candidate"), sha("e.error", "error"), sha("e.resample.accepted_text", "accepted"), sha(F.array_join("e.evidence", "\n"), "evidence"))
 
 
-QUERIES = {f.__name__: f for f in (event_views, rejudge_merge, rejudge_summary, nested_messages, configuration_errors, near_part_names)}
+def _named(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    family = F.when(F.col("o_orderpriority") == "1-URGENT", "hospital_fear").when(F.col("o_orderpriority") == "2-HIGH", "cost_medical_debt").otherwise(F.lower("o_orderpriority"))
+    records = o.select("o_orderkey", F.concat_ws("__", F.col("o_custkey") % 40, family, F.lower("o_orderstatus"), F.concat(F.lit("r"), F.col("o_orderkey") % 3)).alias("conversation_id"))
+    slugs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("id"), F.lower("n_name").alias("slug"))
+    return records, slugs
+
+
+def shown_ids(spark, sf_dir):
+    """Each order's record id (of forty vignettes, 25 with a slug) as it is shown, and whether an id that is shown for it with another replicate names a record."""
+    records, slugs = _named(spark, sf_dir)
+    shown = names.display_ids(records, slugs)
+    others = shown.select("o_orderkey", F.concat(F.expr("left(display, length(display) - 1)"), F.col("o_orderkey") % 5).alias("other"))
+    found = names.resolvable(others, records, slugs, display="other").withColumn("found", F.lit(True))
+    rows = shown.join(others, "o_orderkey").join(found, "other", "left")
+    return rows.select("o_orderkey", "display", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def arm_progress(spark, sf_dir):
+    """Orders of even customers are cells of the main arm, others of the context arm; those with lines that were returned or accepted are finished."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, "main").otherwise("context").alias("arm"))
+    back = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sets.arm_states(o, o.join(back, "o_orderkey"), "o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (shown_ids, arm_progress, event_views, rejudge_merge, rejudge_summary, nested_messages, configuration_errors, near_part_names)}
 
 _MERGED = f"""WITH l AS (SELECT l_orderkey, max(l_returnflag) AS mode, sum(l_quantity) AS cost FROM lineitem GROUP BY 1),
     t AS (SELECT o_orderkey, o_orderpriority AS old, mode, cost, o_custkey % 10 = 7 AS bad, o_orderstatus <> 'P' AND o_orderpriority IN ('1-URGENT', '5-LOW') AS wanted FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
     s AS (SELECT *, coalesce(sum(CASE WHEN wanted THEN coalesce(cost, 0) ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM t),
     m AS (SELECT *, CASE WHEN NOT wanted THEN 'untouched' WHEN spent >= {CAP} THEN 'deferred' WHEN mode IS NULL OR bad THEN 'failed' ELSE 'rejudged' END AS outcome FROM s)"""
 ORACLE_SQL = {
+    "shown_ids": """WITH r AS (SELECT o_orderkey, (o_custkey % 40)::VARCHAR AS v, CASE o_orderpriority WHEN '1-URGENT' THEN 'fear' WHEN '2-HIGH' THEN 'cost' ELSE lower(o_orderpriority) END AS f, lower(o_orderstatus) AS a, o_orderkey % 3 AS r, o_orderkey % 5 AS other FROM orders),
+        k AS (SELECT DISTINCT v, f, a, r FROM r)
+        SELECT o_orderkey, coalesce(lower(n_name), r.v) || '__' || r.f || '__' || r.a || '__r' || r.r AS display, n_name IS NOT NULL AND k.v IS NOT NULL AS found
+        FROM r LEFT JOIN nation ON n_nationkey::VARCHAR = r.v LEFT JOIN k ON k.v = r.v AND k.f = r.f AND k.a = r.a AND k.r = r.other""",
+    "arm_progress": """WITH o AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'main' ELSE 'context' END AS arm, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N') AS done FROM orders)
+        SELECT arm, count(*) AS expected, count(*) FILTER (NOT done) AS missing, bool_and(done) AS complete FROM o GROUP BY arm""",
     "event_views": """SELECT doc_id, lang AS rule, sha256(left(text, 4000)) AS candidate, sha256(left(text, 600)) AS error, sha256(left(text, 4000)) AS accepted,
         sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 600)), chr(10))) AS evidence FROM documents""",
     "rejudge_merge": f"""{_MERGED} SELECT o_orderkey, CASE WHEN outcome = 'rejudged' THEN mode ELSE old END AS judgment, outcome,

@@ -7,7 +7,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialogscope.sources.records import run_id_error
@@ -60,3 +60,29 @@ def study_for_name(studies: DataFrame, name: str, today: str) -> str:
     if len(found) > 1:
         raise LookupError(f"studies that share the name {name!r}: {', '.join(found)}")
     return found[0] if found else f"{today}__{name}"
+
+
+# Short labels of families, where a reader sees one.
+SHORT = {"transport_ambulance_cost": "transport", "cost_medical_debt": "cost", "hospital_fear": "fear"}
+
+
+def short_family(family: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])[family], family)
+
+
+def display_ids(records: DataFrame, slugs: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Adds ``display``: the id with the vignette's slug and the family's short label; a vignette without a slug (id, slug) keeps its number, null stays null."""
+    named = slugs.groupBy(F.col("id").alias("__id")).agg(F.max("slug").alias("__slug"))
+    p = F.col("__parts")
+    shown = F.transform(p, lambda x, i: F.when(i == 0, F.coalesce("__slug", x)).when(i == 1, short_family(x)).otherwise(x))
+    marked = records.withColumn("__parts", F.split(key, "__"))
+    return marked.join(named, p[0] == F.col("__id"), "left").withColumn("display", F.array_join(shown, "__")).drop("__parts", "__id", "__slug")
+
+
+def resolvable(shown: DataFrame, records: DataFrame, slugs: DataFrame, display: str = "display", key: str = "conversation_id") -> DataFrame:
+    """The distinct ``display`` ids of four parts that name a record: its vignette by the slug, its family by the short label, and its last two parts."""
+    p, r = F.split(display, "__"), F.split(key, "__")
+    parts = lambda a, b, c, d: (a.alias("__v"), b.alias("__f"), c.alias("__a"), d.alias("__r"))
+    known = records.where(F.size(r) >= 3).select(*parts(r[0], short_family(r[1]), F.element_at(r, -2), F.element_at(r, -1)))
+    asked = shown.where(F.size(p) == 4).select(display, p[0].alias("slug"), *parts(F.lit(None), p[1], p[2], p[3])[1:]).distinct()
+    return asked.join(slugs.select("slug", F.col("id").alias("__v")), "slug").join(known, ["__v", "__f", "__a", "__r"], "left_semi").select(display).distinct()

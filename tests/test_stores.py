@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dialogscope.operators import rejudging, views
+from dialogscope.operators import rejudging, sets, views
 from dialogscope.sources import documents, names
 from dialogscope.sources import records as S
 
@@ -171,3 +171,27 @@ def test_views_of_records(spark, tmp_path):
     assert [len(x) for x in two["evidence"]] == [600] and two["resample"] is None and len(two["note"]) == 300 and two["note"].startswith("empty")
     assert three["evidence"] is None and three["resample"] is None and three["note"] is None and three["violations"] == []
     assert (a["guard"]["n_flagged"], a["guard"]["n_cured"], a["guard"]["violation"], a["guard"]["flag_turns"]) == (2, 0, False, [])
+
+
+def test_ids_as_shown_and_back(spark):
+    ids = ["001__hospital_fear__meta__r0", "001__control__meta__r1", "009__work__x__r0", "001", "", None]
+    records = spark.createDataFrame([(i,) for i in ids], "conversation_id string")
+    slugs = spark.createDataFrame([("001", "asthma"), ("002", "dka")], "id string, slug string")
+    got = {r["conversation_id"]: r["display"] for r in names.display_ids(records, slugs).collect()}
+    assert got == dict(zip(ids, ["asthma__fear__meta__r0", "asthma__control__meta__r1", "009__work__x__r0", "asthma", "", None], strict=True))
+    asked = ["asthma__fear__meta__r0", "asthma__fear__meta__r1", "dka__fear__meta__r0", "asthma__hospital_fear__meta__r0", "009__work__x__r0", "asthma", "asthma__control__meta__r1", "asthma__control__meta__r1", None]
+    found = names.resolvable(spark.createDataFrame([(a,) for a in asked], "display string"), records, slugs)
+    assert sorted(r[0] for r in found.collect()) == ["asthma__control__meta__r1", "asthma__fear__meta__r0"]
+
+
+def test_arms_to_continue(spark):
+    table = lambda rows: spark.createDataFrame(rows, "arm string, cell int")
+    states = sets.arm_states(table([("context", 1), ("context", 2), ("main", 1), ("main", 1)]), table([("context", 1), ("main", 1), ("main", 9)]), "cell")
+    assert {r["arm"]: (r["expected"], r["missing"], r["complete"]) for r in states.collect()} == {"context": (2, 1, False), "main": (1, 0, True)}
+    assert sets.arms_to_continue(states) == ["context"] and sets.arms_to_continue(states, ["main"]) == []
+    both = sets.arm_states(table([("context", 1), ("main", 1)]), table([("main", 2)]), "cell")
+    assert sets.arms_to_continue(both) == ["main", "context"] and sets.arms_to_continue(both, ["context"]) == ["context"]
+    with pytest.raises(ValueError, match="unknown"):
+        sets.arms_to_continue(both, ["third"])
+    with pytest.raises(ValueError, match="never had"):
+        sets.arms_to_continue(both.where("arm = 'main'"), ["context"])
