@@ -7,12 +7,13 @@ sets can have there. An instance divides the domain of shingles into partitions,
 into two halves; a signature is the content of one half, that is, of every subset of one of the two
 second-level partitions. Of ``k // 2 + 1`` partitions, one has a difference of at most one element,
 so that one of its halves is the same: the two sets share a signature. There are some partitions
-more, so that this holds even without halves that are empty; a set with too many empty halves sends
-those as well.
+more, so that this holds even without halves that are empty; a set with too many empty halves sends the shingles
+of its prefix instead (the smallest hashes, as many as ``similarity`` leaves), of which two similar sets share one:
+an empty half would put all short texts in one group.
 
 1. Every task emits (signature, document) once for equal sets that it sees; sorted by signature,
    what stands alone goes. Equal sets are one node from there on.
-2. Each group with a signature gives pairs with one node only, which are verified exactly.
+2. Each group with a signature gives pairs with one node only, which are verified exactly; that node leaves the group.
 3. Links make components. The nodes of groups that still hold several components are grouped anew, so that pairs
    don't grow with the square of a group: their shingles are put in order, rarer ones first, and two similar sets
    agree in one of the first fifth of both (the prefix that ``similarity`` leaves). Nodes that share a rare shingle (of up to
@@ -133,7 +134,7 @@ def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np
     size = np.array([len(sets[i]) for i in index], np.int64)
     band = np.searchsorted(low, size, "right") - 1
     flat = np.concatenate([sets[i] for i in index])
-    found, owners = [], []
+    found, owners, short = [], [], np.zeros(len(index), bool)
     for down in (0, 1):
         instance = band - down
         use = instance >= 0
@@ -160,9 +161,13 @@ def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np
             sig = mix(total ^ mix(own * _U(0xC2B2AE3D27D4EB4F) + np.repeat(seed, slots) + held.astype(_U)))
         empty = held == 0
         bad = np.add.reduceat(empty.reshape(-1, 2).any(1).astype(np.int64), base[:-1] // 2)
-        send = ~empty | np.repeat(bad > parts[:, 1], slots)
-        found.append(sig[send])
-        owners.append(np.repeat(which, slots)[send])
+        short[use] |= bad > parts[:, 1]
+        found.append(sig[~empty])
+        owners.append(np.repeat(which, slots)[~empty])
+    for i, n in zip(index[short], size[short], strict=True):
+        prefix = sets[i][: n - (n * similarity + 99) // 100 + 1]
+        found.append(mix(prefix ^ _U(0x9FB21C651E98DF25)))
+        owners.append(np.full(len(prefix), i))
     return np.concatenate(found), np.concatenate(owners)
 
 
@@ -228,10 +233,10 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", F.col("n").isNull(), "doc_id").mapInArrow(run, rows.schema)
 
 
-def _first_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): the first node of each signature's group with each of the others; ``groups``: sig, id, place.
+def _led(groups: DataFrame) -> DataFrame:
+    """sig, lead, id: the first node of each signature's group with each of the others; ``groups``: sig, id, place.
 
-    First is the node with the least ``place``; pairs come with the smaller id in front.
+    First is the node with the least ``place``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +253,9 @@ def _first_pairs(groups: DataFrame) -> DataFrame:
             sig, lead = sigs[-1], leads[-1]
             other = of != ids
             if other.any():
-                pairs = np.unique(np.column_stack([np.minimum(of, ids), np.maximum(of, ids)])[other], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (sigs, of, ids)], ["sig", "lead", "id"])
 
-    return groups.repartition("sig").sortWithinPartitions("sig", "place", "id").mapInArrow(run, "a long, b long").distinct()
+    return groups.repartition("sig").sortWithinPartitions("sig", "place", "id").mapInArrow(run, "sig long, lead long, id long")
 
 
 def _may_link(n_a: np.ndarray, n_b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, similarity: int) -> np.ndarray:
@@ -269,6 +273,7 @@ def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
     """(a, b) of nodes that share a signature, lie in two components and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # two nodes may share many signatures
         for table in whole_runs(batches, "sig"):
             sig, ids, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "component", "n"))
             cells, bounds = _cells(table.column("cells")), run_bounds(sig)
@@ -277,9 +282,12 @@ def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
             def near() -> Iterator[pa.RecordBatch]:
                 i, j = np.repeat(left, list(map(len, right))), np.concatenate(right)
                 ok = _may_link(n[i], n[j], cells[i], cells[j], similarity)
-                if ok.any():
-                    pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])[ok], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                pairs = set(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist(), strict=True)) - seen
+                if pairs:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.update(pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
                 left.clear()
                 right.clear()
 
@@ -453,12 +461,13 @@ def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILAR
         nodes, same_id, groups = _nodes_and_groups(docs, words, similarity)
         # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
         place = stored(groups.groupBy("id").agg((-F.count("*")).alias("place")), "places")
-        # the sets of nodes in groups, in buckets by id: they are shuffled here and in none of the joins below
+        # the sets of nodes in groups, in buckets by id: they are shuffled here, once at any size (by a merge join), and in none of the joins below
         texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-        sets = _sets(texts, words).where("n > 0").repartition(partitions(spark), "id").join(place.select("id"), "id", "left_semi")
+        sets = _sets(texts, words).where("n > 0").join(place.select("id").hint("merge"), "id", "left_semi")
         sets = stored(sets.dropDuplicates(["id", "h"]).drop("h"), "sets", bucket="id")
 
-        pairs = stored(_first_pairs(groups.join(place, "id")), "pairs")
+        led = stored(_led(groups.join(place, "id")), "led")
+        pairs = stored(led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
         links = stored(_verified(pairs, sets, similarity).union(same_id), "links")
 
         def still_open(of: DataFrame, component: DataFrame) -> DataFrame:
@@ -473,7 +482,8 @@ def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILAR
             pairs = pairs.union(more)
             return stored(_verified(more, sets, similarity), "more-links")
 
-        within = stored(still_open(groups, connected(links)), "open-groups")
+        # all pairs with a group's first node are decided: the others go on
+        within = stored(still_open(led, connected(links)), "open-groups")
         per_id = sets.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))  # several where rows repeat a doc_id
         open_nodes = stored(within.select("id", "component").distinct().join(per_id, "id"), "open-nodes")
         parted = stored(_prefixes(open_nodes, sets, similarity, few), "prefixes")

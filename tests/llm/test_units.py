@@ -281,6 +281,19 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(sig[of == 0], sig[of == 1])), (len(a), len(b))
 
 
+def test_short_texts_do_not_crowd_one_signature():
+    """Different short sets share next to no signatures; groups don't grow with the number of short texts."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in [*[1] * 300, *[4] * 300, *[9] * 300]]
+    sig, _ = partenum.signatures(sets)
+    assert np.unique(sig, return_counts=True)[1].max() <= 2
+
+
+def test_groups_go_on_without_their_first_node(spark):
+    groups = spark.createDataFrame([(1, 5, -3), (1, 2, -1), (2, 2, -1), (2, 9, -1), (2, 7, 0), (3, 4, 0)], "sig long, id long, place long")
+    assert {tuple(r) for r in partenum._led(groups).collect()} == {(1, 5, 2), (2, 2, 9), (2, 2, 7)}
+
+
 # --- nearest neighbours
 
 
