@@ -47,7 +47,8 @@ def nested_messages(spark, sf_dir):
 
 def configuration_errors(spark, sf_dir):
     """Each order as a configuration: its suppliers are providers and advisors, its customer's number names the patient's; low priority has no seed."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct()
+    # dealt by order once, for what is distinct, the lists and the join
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
     s = F.concat(F.lit("s"), F.col("l_suppkey"))
     # an order has seven lines at most
     per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(s)).alias("s"))

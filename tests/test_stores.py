@@ -195,3 +195,10 @@ def test_arms_to_continue(spark):
         sets.arms_to_continue(both, ["third"])
     with pytest.raises(ValueError, match="never had"):
         sets.arms_to_continue(both.where("arm = 'main'"), ["context"])
+
+
+def test_lines_of_configurations_are_shuffled_once(spark):
+    from dialogscope.plans import stores
+
+    plan = stores.configuration_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
