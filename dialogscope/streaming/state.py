@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, DoubleType, IntegralType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -97,29 +98,6 @@ def latched(stream: DataFrame, key: str, order: str | list[str], flag: Column, n
     return _keyed(given, key, _Latch(out.names, StructType(given.schema.fields[1:]), place_type), out, "Update")
 
 
-class _Budget(StatefulProcessor):
-    def __init__(self, rows: StructType, columns: list[str], at: int, cost: int, cap: float, fail_closed: bool, stop: bool):
-        self.whole, self.columns, self.at, self.cost, self.cap, self.fail_closed, self.stop = _whole(rows), columns, at, cost, cap, fail_closed, stop
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("spent", StructType([StructField("spent", DoubleType()), StructField("missing", BooleanType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spent, missing = self.state.get() if self.state.exists() else (0.0, False)
-        out = []
-        for r in sorted(_rows(rows, self.whole), key=lambda r: (r[self.at] is not None, r[self.at] or 0)):
-            runs = spent < self.cap and not (self.fail_closed and missing)
-            if runs or not self.stop:
-                out.append((*r, spent, runs))
-            spent, missing = spent + (r[self.cost] or 0.0), missing or r[self.cost] is None
-        self.state.update((float(spent), bool(missing)))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns, dtype=object)
-
-    def close(self) -> None:
-        pass
-
-
 def spend_replay(stream: DataFrame, order: str, cost: str, cap: float, *, by: str, fail_closed: bool = False, stop: bool = False) -> DataFrame:
     """``sets.spend_replay`` of a stream: adds what was ``spent`` before each row, and whether it ``runs``.
 
@@ -128,5 +106,20 @@ def spend_replay(stream: DataFrame, order: str, cost: str, cap: float, *, by: st
     counts as nothing and, with ``fail_closed``, ends the budget.
     """
     fields = [*stream.schema.fields, StructField("spent", DoubleType()), StructField("runs", BooleanType())]
-    names = [f.name for f in fields]
-    return _keyed(stream, by, _Budget(stream.schema, names, names.index(order), names.index(cost), cap, fail_closed, stop), StructType(fields), "Append")
+    names, whole, at, paid = [f.name for f in fields], _whole(stream.schema), stream.columns.index(order), stream.columns.index(cost)
+
+    def replay(key: tuple, frames: Iterator[pd.DataFrame], budget: GroupState) -> Iterator[pd.DataFrame]:
+        spent, missing = budget.get if budget.exists else (0.0, False)
+        out = []
+        for r in sorted(_rows(frames, whole), key=lambda r: (r[at] is not None, r[at] or 0)):
+            runs = spent < cap and not (fail_closed and missing)
+            if runs or not stop:
+                out.append((*r, spent, runs))
+            spent, missing = spent + (r[paid] or 0.0), missing or r[paid] is None
+        budget.update((float(spent), bool(missing)))
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    # the state travels with the rows: a call to the state's server for each key would cost more than its rows
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return stream.groupBy(by).applyInPandasWithState(replay, StructType(fields), "spent double, missing boolean", "append", GroupStateTimeout.NoTimeout)

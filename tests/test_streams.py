@@ -169,3 +169,9 @@ def test_replies_by_request(spark, tmp_path):
     store.set(keyed.where("content = 'other'").select("key", F.lit("newer").alias("content")))
     found = keyed.drop("content").join(store.get(keyed), "key").collect()
     assert sorted(r["content"] for r in found) == ["newer", "no seed", "reply"]
+
+
+def test_budget_state_travels_with_the_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    replayed = state.spend_replay(logs.follow(spark, str(tmp_path / "in"), TURNS), "turn", "cost", 3.0, by="conv")
+    assert "FlatMapGroupsInPandasWithState" in replayed._jdf.queryExecution().analyzed().toString()
