@@ -6,10 +6,11 @@ neighbouring bands is an instance, with the largest symmetric difference ``k`` t
 sets can have there. An instance divides the domain of shingles into partitions, and each of them
 into two halves; a signature is the content of one half, that is, of every subset of one of the two
 second-level partitions. Of ``k // 2 + 1`` partitions, one has a difference of at most one element,
-so that one of its halves is the same: the two sets share a signature. There are some partitions
-more, so that this holds even without halves that are empty; a set with too many empty halves sends the shingles
-of its prefix instead (the smallest hashes, as many as ``similarity`` leaves), of which two similar sets share one:
-an empty half would put all short texts in one group.
+so that one of its halves is the same: the two sets share a signature. There are half as many partitions
+more, so that they share several, and each set keeps its weakest halves (those of fewest elements, in an order that is the same
+for all sets) to itself, one less than are shared: the strongest shared half is sent by both. What is kept is
+empty or one shingle, which would put all texts with a common shingle in one group. A set with too many empty halves sends the
+shingles of its prefix, too (the smallest hashes, as many as ``similarity`` leaves), of which two similar sets share one.
 
 1. Every task emits (signature, document) once for equal sets that it sees; sorted by signature,
    what stands alone goes. Equal sets are one node from there on.
@@ -59,6 +60,8 @@ DOMAIN = 2
 HELD = 1_000_000
 #: Rows of equal sets are dealt to so many tasks a set.
 SALTS = 16
+#: Partitions beyond the least number that is complete, as a share of it.
+SPARE = 0.5
 
 _U = np.uint64
 
@@ -110,19 +113,13 @@ def bands(similarity: int, largest: int = 1 << 40) -> np.ndarray:
 
 @functools.lru_cache(maxsize=512)
 def partitions_of(instance: int, similarity: int) -> tuple[int, int]:
-    """First-level partitions of an instance, and how many of them may have empty halves."""
+    """First-level partitions of an instance, and how many halves two similar sets have in common at least."""
     low = bands(similarity)
-    lo, hi = int(low[instance]), int(low[instance + 1]) - 1
-    both = hi + hi * 100 // similarity
-    k = both * (100 - similarity) // (100 + similarity)
+    hi = int(low[instance + 1]) - 1
+    k = (hi + hi * 100 // similarity) * (100 - similarity) // (100 + similarity)
     least = k // 2 + 1
-    spare = 0
-    if least >= 6:
-        for spare in range(least):
-            empty = (least + spare) * (1 - (1 - math.exp(-lo / (2 * (least + spare)))) ** 2)
-            if spare >= empty + 0.7 * math.sqrt(empty):
-                break
-    return least + spare, spare
+    parts = least + math.ceil(least * SPARE)
+    return parts, 2 * parts - k
 
 
 def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +156,14 @@ def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np
                 total += mix(np.bincount(at, weights=part, minlength=base[-1]).astype(_U) + _U(shift + 1))
             own = (np.arange(base[-1]) - np.repeat(base[:-1], slots)).astype(_U)
             sig = mix(total ^ mix(own * _U(0xC2B2AE3D27D4EB4F) + np.repeat(seed, slots) + held.astype(_U)))
-        empty = held == 0
-        bad = np.add.reduceat(empty.reshape(-1, 2).any(1).astype(np.int64), base[:-1] // 2)
-        short[use] |= bad > parts[:, 1]
-        found.append(sig[~empty])
-        owners.append(np.repeat(which, slots)[~empty])
+        # the weakest halves stay at home, one less than two similar sets have in common: by elements, then by slot
+        order = np.argsort(np.repeat(np.arange(len(which)) << 42, slots) | np.minimum(held, 255) << 34 | own.astype(np.int64))
+        sent = np.zeros(base[-1], bool)
+        sent[order[np.arange(base[-1]) - np.repeat(base[:-1], slots) >= np.repeat(parts[:, 1] - 1, slots)]] = True
+        sent &= held > 0
+        short[use] |= np.add.reduceat((held == 0).astype(np.int64), base[:-1]) >= parts[:, 1]
+        found.append(sig[sent])
+        owners.append(np.repeat(which, slots)[sent])
     for i, n in zip(index[short], size[short], strict=True):
         prefix = sets[i][: n - (n * similarity + 99) // 100 + 1]
         found.append(mix(prefix ^ _U(0x9FB21C651E98DF25)))

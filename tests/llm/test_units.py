@@ -289,6 +289,16 @@ def test_short_texts_do_not_crowd_one_signature():
     assert np.unique(sig, return_counts=True)[1].max() <= 2
 
 
+def test_common_shingles_do_not_group_different_sets():
+    """Different sets with some common shingles share few signatures: a half that holds one common shingle alone isn't sent."""
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 300).astype(np.uint64)])) for _ in range(300)]
+    sig, _ = partenum.signatures(sets)
+    count = np.unique(sig, return_counts=True)[1]
+    assert count[count > 2].sum() < 400, count[count > 2].sum()
+
+
 def test_groups_go_on_without_their_first_node(spark):
     groups = spark.createDataFrame([(1, 5, -3), (1, 2, -1), (2, 2, -1), (2, 9, -1), (2, 7, 0), (3, 4, 0)], "sig long, id long, place long")
     assert {tuple(r) for r in partenum._led(groups).collect()} == {(1, 5, 2), (2, 2, 9), (2, 2, 7)}
