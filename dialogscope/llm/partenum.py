@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import Memo, connected, over_texts, partitions, run_bounds, scratch, stored, utf8, whole_runs
+from dialogscope.llm.common import connected, over_texts, partitions, run_bounds, scratch, stored, utf8, whole_runs
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -60,17 +60,16 @@ DOMAIN = 2
 HELD = 1_000_000
 #: Rows of equal sets are dealt to so many tasks a set.
 SALTS = 16
+#: Ranges of signatures; a task holds one of them at a time (a power of two).
+BUCKETS = 2048
 #: Partitions beyond the least number that is complete, as a share of it.
 SPARE = 0.5
+#: Bytes of a word that a table hashes.
+POSITIONS = 64
 
 _U = np.uint64
 
 
-def word_hashes() -> Memo:
-    """Hashes of words; one memo a task, so that no worker carries it on."""
-    return Memo(xxhash.xxh3_64_intdigest, 60_000)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), element by element."""
     with np.errstate(over="ignore"):
@@ -79,23 +78,59 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(32))
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS, hashes: Memo | None = None) -> list[np.ndarray]:
+@functools.cache
+def _of_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for every byte at every place in a word (A-Z as a-z, white space 0), and which bytes are white space."""
+    table = mix(np.arange(1, POSITIONS * 256 + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).reshape(POSITIONS, 256)
+    table[:, 65:91] = table[:, 97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    table[:, space] = 0
+    return table.ravel(), space
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, lower-cased, and how many of them each text has.
+
+    A word's hash is the sum of its bytes' numbers; longer words than the table is are hashed one by one.
+    """
+    table, space = _of_bytes()
+    joined = b" ".join([b"", *texts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    blank = space[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+    if not len(starts):
+        return np.zeros(0, _U), sizes
+    spans = np.diff(starts, append=len(raw))  # with the white space that follows
+    place = np.arange(len(raw) - starts[0], dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), spans)
+    np.minimum(place, POSITIONS - 1, out=place)
+    place <<= 8
+    place |= raw[starts[0] :]
+    hashes = np.add.reduceat(table[place], starts - starts[0])
+    for i in np.flatnonzero(ends - starts > POSITIONS):
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]].lower())
+    return hashes, sizes
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes = word_hashes() if hashes is None else hashes
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter(map(hashes.__getitem__, (w for ws in split for w in ws)), _U, int(sizes.sum()))
+    flat, sizes = word_hashes(texts)
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(flat), _U)
         for k in range(min(words, len(flat))):
             rolled[: len(flat) - k] = rolled[: len(flat) - k] * _U(0x9E3779B97F4A7C15) + flat[k:]
         rolled = mix(rolled)
     out, at = [], 0
-    for n in sizes:
+    for n in sizes.tolist():
         if n >= words:
-            out.append(np.unique(rolled[at : at + n - words + 1]))
+            own = np.sort(rolled[at : at + n - words + 1])
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
         elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(flat[at : at + n].tobytes(), seed=int(n))], _U))
+            out.append(np.array([xxhash.xxh3_64_intdigest(flat[at : at + n].tobytes(), seed=n)], _U))
         else:
             out.append(np.zeros(0, _U))
         at += n
@@ -172,15 +207,14 @@ def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> tuple[np
 
 
 def _emit(docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Rows of two kinds: (sig, doc_id) and, once per document, its size and the hash of its set."""
+    """Rows of two kinds: once per document its size and the hash of its set; signatures with their documents, packed by
+    ``BUCKETS`` ranges of their hashes (``sig`` is the range), so that Spark deals out thousands of signatures a row."""
 
     def each():
         seen: dict[bytes, None] = {}
-        memo = word_hashes()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = shingle_sets(utf8(batch.column(1)), words, memo)
+            sets = shingle_sets(utf8(batch.column(1)), words)
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             fresh = []
             for s, h in zip(sets, hashes, strict=True):
@@ -191,46 +225,60 @@ def _emit(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             sig, owner = signatures(fresh, similarity)
             n = len(sets)
             own = np.array([xxhash.xxh3_64_intdigest(i.to_bytes(8, "little", signed=True)) for i in ids.tolist()], _U)
-            none = len(sig)
+            bucket = (sig >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sig, of, bounds = sig[order], ids[owner[order]], run_bounds(bucket[order])
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            packed, n = len(spans), len(sets)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([sig, own]).view(np.int64)),
-                    pa.array(np.concatenate([ids[owner], ids]), pa.int64()),
-                    pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]) if n else pa.nulls(none, pa.int64()),
-                    pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(hashes, pa.binary())]),
+                    pa.array(np.concatenate([bucket[order][bounds[:-1]], own.view(np.int64)])),
+                    pa.concat_arrays([pa.nulls(packed, pa.int64()), pa.array(ids, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(packed, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(packed, pa.binary()), pa.array(hashes, pa.binary())]),
+                    *(pa.concat_arrays([pa.array([x[lo:hi].tobytes() for lo, hi in spans], pa.binary()), pa.nulls(n, pa.binary())]) for x in (sig, of)),
                 ],
-                ["sig", "doc_id", "n", "h"],
+                ["sig", "doc_id", "n", "h", "sigs", "ids"],
             )
 
         return work
 
-    return over_texts(docs.where("doc_id is not null"), ["doc_id", "text"], "sig long, doc_id long, n long, h binary", each)
+    return over_texts(docs.where("doc_id is not null"), ["doc_id", "text"], "sig long, doc_id long, n long, h binary, sigs binary, ids binary", each)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose signature another row has, too, and those of documents."""
+    """sig, doc_id, n, h: the signatures that another row has, too, and the rows of documents."""
+    schema = "sig long, doc_id long, n long, h binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kept = None, False  # the last row waits for the next one
+        bucket, held = None, []
+
+        def several() -> Iterator[pa.RecordBatch]:
+            sig, ids = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+            order = np.argsort(sig)
+            sig = sig[order]
+            keep = np.zeros(len(sig), bool)
+            np.equal(sig[1:], sig[:-1], out=keep[1:])
+            keep[:-1] |= keep[1:]
+            n = int(keep.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(ids[order[keep]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["sig", "doc_id", "n", "h"])
+            held.clear()
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            sig, is_doc = batch.column("sig").to_numpy(), batch.column("n").is_valid().to_numpy(zero_copy_only=False)
-            same = (sig[1:] == sig[:-1]) & ~is_doc[1:] & ~is_doc[:-1]
-            keep = is_doc.copy()
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= kept
-            out = batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-            if out.num_rows:
-                yield out
-            held, kept = batch.slice(batch.num_rows - 1), bool(keep[-1])
-        if kept:
-            yield held
-
-    return rows.repartition("sig").sortWithinPartitions("sig", F.col("n").isNull(), "doc_id").mapInArrow(run, rows.schema)
+            of_docs = batch.filter(batch.column("n").is_valid())
+            if of_docs.num_rows:
+                yield of_docs.select(["sig", "doc_id", "n", "h"])
+            packed = batch.filter(batch.column("n").is_null())
+            for own, sigs, ids in zip(*(packed.column(c).to_pylist() for c in ("sig", "sigs", "ids")), strict=True):
+                if held and own != bucket:
+                    yield from several()
+                bucket = own
+                held.append((sigs, ids))
+        if held:
+            yield from several()
+
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, schema)
 
 
 def _led(groups: DataFrame) -> DataFrame:
@@ -311,10 +359,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """id, n, the set as 64-bit hashes, its hash, and its counts in cells."""
 
     def each():
-        memo = word_hashes()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(utf8(batch.column(1)), words, memo)
+            sets = shingle_sets(utf8(batch.column(1)), words)
             cells = [np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([s.tobytes() for s in sets], pa.binary()), ([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), (cells, pa.binary())))],

@@ -299,6 +299,29 @@ def test_common_shingles_do_not_group_different_sets():
     assert count[count > 2].sum() < 400, count[count > 2].sum()
 
 
+def test_words_hash_alike_wherever_they_stand():
+    """Hashes made from bytes together tell the same words apart as split() and lower() do."""
+    long = b"x" * (partenum.POSITIONS + 1)
+    texts = [b"", b" \t\n", b"One two\x0bONE", b"\r\ntwo  one ", b"one\x00 \xc3\x89 \xc3\xa9 owt", long + b" " + long[1:] + b" X" + long[1:] + b" " + long + b"y", b"on e"]
+    hashes, sizes = partenum.word_hashes(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    assert [len(x) for x in partenum.word_hashes([b"", b" "])] == [0, 2]
+
+
+def test_signatures_travel_packed(spark):
+    """Spark deals out ranges of signatures, not a row for each; those that two rows have come back one by one."""
+    rng = random.Random(4)
+    texts = [" ".join("w%d" % rng.randrange(10**6) for _ in range(300)) for _ in range(100)]
+    docs = [*enumerate(texts), (100, texts[0] + " more"), (101, None)]
+    rows = partenum._emit(frame(spark, docs).coalesce(1), 5, 80)
+    assert rows.count() <= partenum.BUCKETS + len(docs)
+    found = partenum._shared(rows).collect()
+    assert sorted(r["doc_id"] for r in found if r["n"] is not None) == list(range(102))
+    assert {r["doc_id"] for r in found if r["n"] is None} == {0, 100}
+
+
 def test_groups_go_on_without_their_first_node(spark):
     groups = spark.createDataFrame([(1, 5, -3), (1, 2, -1), (2, 2, -1), (2, 9, -1), (2, 7, 0), (3, 4, 0)], "sig long, id long, place long")
     assert {tuple(r) for r in partenum._led(groups).collect()} == {(1, 5, 2), (2, 2, 9), (2, 2, 7)}
