@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Bytes in one Arrow batch, and in what is worked on at a time, so that long texts stay well inside a worker's memory.
 BATCH_BYTES = 8_000_000
 SLICE_BYTES = 1_000_000
+#: Short rows (a few numbers) that one file takes, and the least number of files.
+ROWS_A_FILE = 250_000
+FEWEST_FILES = 8
 #: Folders of intermediate tables: those of the open ``scratch`` blocks, innermost last, and those that outlive them.
 _OPEN: list[list[str]] = []
 _LASTING: list[tuple[SparkSession, str]] = []
@@ -109,6 +112,15 @@ def stored(df: DataFrame, name: str, outlives: int = 0, bucket: str | None = Non
     return spark.read.schema(schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most so many short rows, in no more partitions than they call for.
+
+    Whatever the number of shuffle partitions, so that small tables aren't written as hundreds of files: for each, Hadoop's local file system starts
+    processes (chmod), which count with all of the executor's memory until they run.
+    """
+    return df.coalesce(max(FEWEST_FILES, rows // ROWS_A_FILE))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -195,7 +207,7 @@ def connected(nodes_links: DataFrame, rounds: int = 60) -> DataFrame:
         small = (
             large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         )
-        links = stored(small, "component-links")
+        links = stored(few_files(small, before[0]), "component-links")  # a round adds no links
         now = state(links)
         if now == before:
             break

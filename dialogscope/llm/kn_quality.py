@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import over_texts, scratch, slices, stored, utf8
+from dialogscope.llm.common import few_files, over_texts, scratch, slices, stored, utf8
 
 TRAIN_DOCS = 700
 VOCABULARY = 15_000
@@ -186,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     v = shared.value
 
     c3 = stored(_trigrams(sample, shared), "trigrams")
-    c2 = c3.groupBy("b", "c").agg(F.count("*").alias("n"))
-    c2 = stored(c2, "bigrams")
+    n_trigrams = c3.count()  # of the bounded sample
+    c2 = stored(few_files(c3.groupBy("b", "c").agg(F.count("*").alias("n")), n_trigrams), "bigrams")
     c3 = c3.where("known").drop("known")
     bases = v.bases()
     lang_of = spark.createDataFrame(pa.table({"c": np.arange(v.size, dtype=np.int32), "lang": np.repeat(bases, np.diff([*bases, v.size]))}))
@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, v
     log_uni = spark.createDataFrame(pa.table({"c": np.arange(len(unigram), dtype=np.int32), "p1": unigram}))
 
     p2, rest2 = _discounted(c2, ["b"], "total", "rest2")
-    p2 = stored(p2.join(log_uni, "c").select("b", "c", (F.col("share") + F.col("rest2") * F.col("p1")).alias("p2")), "p2")
+    p2 = p2.join(log_uni, "c").select("b", "c", (F.col("share") + F.col("rest2") * F.col("p1")).alias("p2"))
+    p2 = stored(few_files(p2, n_trigrams), "p2")
     p3, rest3 = _discounted(c3, ["a", "b"], "total", "rest3")
     p3 = p3.join(p2, ["b", "c"]).select("a", "b", "c", (F.col("share") + F.col("rest3") * F.col("p2")).alias("p"))
     backoff = np.zeros(max(1, v.size))

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +37,46 @@ END = 0
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as bytes, equal to those of the tokenizers library.
+def _encoders(path: str, pattern: str) -> tuple[Callable[[str], bytes] | None, Callable[[str], bytes], list[str]]:
+    """What encodes a match of the pattern (None if the file's merges are no ranks), what encodes any text, and the added tokens.
 
-    The file's merges, when they come in the order of their ids, are ranks: a compiled merger then
-    encodes single matches of the pattern. Any other file, and any text that ``PartEncoder`` can't
-    cut safely, is encoded by the library itself. One per Python worker, so
-    that its memos serve all tasks there.
+    One per Python worker. The library takes some 30 MB there, so it is loaded when a text asks for it.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    added = {t.content for t in tok.get_added_tokens_decoder().values()}
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def whole(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    model = json.loads(tok.to_str())["model"]
-    vocab, merges = model["vocab"], ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    file = json.loads(Path(path).read_text("utf-8"))
+    added = [t["content"] for t in file.get("added_tokens") or []]
+    vocab, merges = file["model"]["vocab"], ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in file["model"]["merges"]]
     ids = [vocab[m] for m in merges]
     if ids != sorted(ids):
-        return whole
-    byte_of = {c: b for b, c in byte_letters().items()}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
+        return None, whole, added
+    byte_of, special = {c: b for b, c in byte_letters().items()}, set(added)
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
     merger = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    parts = PartEncoder(pattern, lambda piece: array("I", merger(piece.encode())).tobytes(), whole)
+    return lambda piece: array("I", merger(piece.encode())).tobytes(), whole, added
+
+
+def tokenizer(path: str, pattern: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids as bytes, equal to those of the tokenizers library.
+
+    The file's merges, when they come in the order of their ids, are ranks: a compiled merger then
+    encodes single matches of the pattern. Any other file, and any text that ``PartEncoder`` can't
+    cut safely, is encoded by the library itself. One per task: its memos grow to a hundred MB, which would otherwise
+    lie in every idle worker of an executor while other steps run there.
+    """
+    piece, whole, added = _encoders(path, pattern)
+    if piece is None:
+        return whole
+    parts = PartEncoder(pattern, piece, whole)
     return lambda text: whole(text) if any(x in text for x in added) else parts(text)
 
 

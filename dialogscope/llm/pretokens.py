@@ -10,6 +10,7 @@ such characters out, goes to ``whole`` uncut.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable
 
 import regex
@@ -29,7 +30,8 @@ class PartEncoder:
     def __init__(self, pattern: str, piece: Callable[[str], bytes], whole: Callable[[str], bytes], most: int = 300_000):
         self.find = regex.compile(pattern).findall
         self.whole, self.piece = whole, piece
-        self.pieces, self.parts = Memo(piece, most // 4), Memo(self._part, most)
+        own = weakref.proxy(self)  # no cycle: the memos go with the encoder, not at some later collection
+        self.pieces, self.parts = Memo(piece, most // 4), Memo(lambda part: own._part(part), most)
         self.unsafe = re.compile(rf"[^{SAFE}]").search
         self.awkward = re.compile(r" (?:\s|\Z)").search
 

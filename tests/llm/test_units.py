@@ -1,5 +1,6 @@
 """Operators against brute force, on small inputs that hold every awkward case."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -11,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dialogscope.llm import byte_bpe, divergence_rules, gated_lm, html_blocks, kn_quality, line_dedup, multiprobe, packing, partenum, wordpiece
+from dialogscope.llm import byte_bpe, common, divergence_rules, gated_lm, html_blocks, kn_quality, line_dedup, multiprobe, packing, partenum, pretokens, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "the quick brown fox jumps over the lazy dog again and again today"
@@ -154,6 +155,27 @@ def test_part_encoder_equals_the_library():
             assert mine(s) == np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), s
 
 
+def test_a_worker_keeps_no_memos_after_a_task(monkeypatch):
+    """Workers are used again by later steps; what they keep there counts for the executor. Nor is the library loaded for a plain text."""
+    path = P.path("byte_bpe_50k.json")
+    held = lambda: sum(type(x) is pretokens.PartEncoder for x in gc.get_objects())
+    packing._encoders.cache_clear()
+    gc.collect()
+    gc.disable()
+    try:
+        before = held()
+        with monkeypatch.context() as without:
+            without.setattr("tokenizers.Tokenizer", None)
+            mine = packing.tokenizer(path, P.PATTERN)
+            plain = mine("some words, and some words again")
+        assert held() == before + 1
+        del mine
+        assert held() == before
+    finally:
+        gc.enable()
+    assert np.frombuffer(plain, "<u4").tolist() == Tokenizer.from_file(path).encode("some words, and some words again", add_special_tokens=False).ids
+
+
 def test_transducer_equals_the_library(spark, awkward, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.load_ranks(path)
@@ -259,6 +281,26 @@ def test_crowded_groups_lose_no_link(spark):
     assert {(r["doc_id"], r["component_id"]) for r in out} == {(i, find(i)) for i in root} and len(out) == len(docs)
 
 
+def test_components_are_written_in_few_files(spark):
+    """Whatever the number of shuffle partitions: a file costs processes in every executor."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    written = []
+    try:
+        for n, value in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(n, value)
+        with common.scratch(spark), pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "stored", lambda df, name, *a, keep=common.stored: written.append(keep(df, name, *a)) or written[-1])
+            found = common.connected(spark.createDataFrame([(i, i + 1) for i in range(0, 600) if i % 60 < 50], "a long, b long"))
+            got = {(r["id"], r["component"]) for r in found.collect()}
+            files = [len(x.inputFiles()) for x in written[1:]]
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    assert got == {(i, i // 60 * 60) for i in range(600) if i % 60 <= 50}
+    assert files and max(files) <= common.FEWEST_FILES
+
+
 def test_batches_of_few_words(spark):
     for n in range(7):
         for texts in ([b"a b c d e f"[: max(0, 2 * n - 1)]], [b"", *[b"w%d" % k for k in range(n)]]):
