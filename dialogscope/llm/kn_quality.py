@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import few_files, over_texts, scratch, slices, stored, utf8
+from dialogscope.llm.common import few_files, over_texts, scratch, slices, stored, tidy, utf8
 
 TRAIN_DOCS = 700
 VOCABULARY = 15_000
@@ -253,6 +253,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     open_word = float(np.log10(OPEN_WORDS))
     schema = "part int, kind int, docs binary, counts binary, payload binary, lang string"
 
+    @tidy
     def pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases = shared.value.vocabulary.bases()
         for batch in batches:
@@ -273,6 +274,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             ["part", "kind", "docs", "counts", "payload", "lang"],
         )
 
+    @tidy
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         v = m.vocabulary
@@ -307,6 +309,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                     part = int(starts[s]) + turn % int(m.copies[s])
                     yield _row(part, 2, ids[who].tobytes(), counts.astype("<i4").tobytes(), a[own].tobytes() + b[own].tobytes() + c[own].tobytes(), lang)
 
+    @tidy
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         part, pieces, keys, values = None, [], None, None

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialogscope.llm.common import connected, over_texts, partitions, run_bounds, scratch, stored, utf8, whole_runs
+from dialogscope.llm.common import connected, over_texts, partitions, run_bounds, scratch, stored, tidy, utf8, whole_runs
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -250,6 +250,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     """sig, doc_id, n, h: the signatures that another row has, too, and the rows of documents."""
     schema = "sig long, doc_id long, n long, h binary"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
@@ -287,6 +288,7 @@ def _led(groups: DataFrame) -> DataFrame:
     First is the node with the least ``place``.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = lead = None
         for batch in batches:
@@ -320,6 +322,7 @@ def _cells(column: pa.Array) -> np.ndarray:
 def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
     """(a, b) of nodes that share a signature, lie in two components and may be similar."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # two nodes may share many signatures
         for table in whole_runs(batches, "sig"):
@@ -356,20 +359,33 @@ def _cross_pairs(groups: DataFrame, similarity: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, the set as 64-bit hashes, its hash, and its counts in cells."""
+    """id, n, the set as 64-bit hashes, and its counts in cells, of texts with words; the rows of an id lie together, and its equal sets are
+    given once (or a few times, if it has more than ``SEEN`` or several tasks have it)."""
 
     def each():
+        last, seen = None, set()
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(utf8(batch.column(1)), words)
+            nonlocal last
+            ids, sets = batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1)), words)
+            fresh = []
+            for k, (i, s) in enumerate(zip(ids, sets, strict=True)):
+                if i != last or len(seen) >= SEEN:
+                    seen.clear()
+                last, h = i, xxhash.xxh3_128_digest(s)
+                if len(s) and h not in seen:
+                    fresh.append(k)
+                seen.add(h)
+            sets = [sets[k] for k in fresh]
             cells = [np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([s.tobytes() for s in sets], pa.binary()), ([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), (cells, pa.binary())))],
-                ["id", "n", "shingles", "h", "cells"],
+                [pa.array([ids[k] for k in fresh], pa.int64()), *(pa.array(x, t) for x, t in (([len(s) for s in sets], pa.int64()), ([s.tobytes() for s in sets], pa.binary()), (cells, pa.binary())))],
+                ["id", "n", "shingles", "cells"],
             )
 
         return work
 
-    return over_texts(docs, ["id", "text"], "id long, n long, shingles binary, h binary, cells binary", each)
+    return over_texts(docs, ["id", "text"], "id long, n long, shingles binary, cells binary", each)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -378,6 +394,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(small.toDF(side, f"n_{side}", f"cells_{side}"), side)
 
+    @tidy
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -385,10 +402,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 fits = _may_link(n_a, n_b, _cells(batch.column("cells_a")), _cells(batch.column("cells_b")), similarity)
                 yield batch.select(["a", "b"]).filter(pa.array(fits))
 
-    pairs = pairs.mapInArrow(bounded, "a long, b long")
+    # a shuffle lies between the two functions: in one task they would take two Python workers a core, which an executor keeps for all later steps
+    pairs = pairs.mapInArrow(bounded, "a long, b long").hint("rebalance")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select("id", "shingles").toDF(side, f"set_{side}"), side)
 
+    @tidy
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -420,6 +439,7 @@ def _prefixes(open_nodes: DataFrame, sets: DataFrame, similarity: int, few: int
     its prefix, and too few.
     """
 
+    @tidy
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
@@ -427,6 +447,7 @@ def _prefixes(open_nodes: DataFrame, sets: DataFrame, similarity: int, few: int
                 own = own[own % DOMAIN == 0]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), i))], ["sig", "id"])
 
+    @tidy
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, key) of runs of 2 to ``few`` rows, the key being their length and 58 bits of the hash; per id, minus the
         number of shingles that it alone has."""
@@ -507,10 +528,10 @@ def components(docs: DataFrame, *, words: int = WORDS, similarity: int = SIMILAR
         nodes, same_id, groups = _nodes_and_groups(docs, words, similarity)
         # the node with most shared signatures comes first: the middle of a group of near copies, as a rule
         place = stored(groups.groupBy("id").agg((-F.count("*")).alias("place")), "places")
-        # the sets of nodes in groups, in buckets by id: they are shuffled here, once at any size (by a merge join), and in none of the joins below
+        # the sets of nodes in groups, in buckets by id: their texts are shuffled here, once at any size (by a merge join, which also sorts them by id),
+        # the sets, which are larger and don't compress, in none of the joins below
         texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-        sets = _sets(texts, words).where("n > 0").join(place.select("id").hint("merge"), "id", "left_semi")
-        sets = stored(sets.dropDuplicates(["id", "h"]).drop("h"), "sets", bucket="id")
+        sets = stored(_sets(texts.join(place.select("id").hint("merge"), "id", "left_semi"), words), "sets", bucket="id")
 
         led = stored(_led(groups.join(place, "id")), "led")
         pairs = stored(led.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")

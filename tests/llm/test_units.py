@@ -369,6 +369,33 @@ def test_groups_go_on_without_their_first_node(spark):
     assert {tuple(r) for r in partenum._led(groups).collect()} == {(1, 5, 2), (2, 2, 9), (2, 2, 7)}
 
 
+def test_verifying_takes_one_python_worker_a_task(spark):
+    """Even where Spark broadcasts the sets, a shuffle keeps both Python functions apart: an executor keeps all workers that a task ever took."""
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = spark.createDataFrame([(1, LONG), (2, LONG.upper()), (3, "something else " * 9)], "id long, text string")
+    found = partenum._verified(pairs, partenum._sets(texts, 5), 80)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    maps = [i for i, line in enumerate(plan.splitlines()) if "MapInArrow" in line and ("exact" in line or "bounded" in line)]
+    assert len(maps) == 2 and "RebalancePartitions" in "".join(plan.splitlines()[maps[0] : maps[1]])
+
+
+def test_sets_come_once_an_id(spark):
+    """Equal sets of rows that lie together come once an id, without a shuffle of the sets; texts without words have none."""
+    rows = [(1, LONG), (1, LONG.upper()), (1, "two words"), (1, LONG), (2, LONG), (3, " "), (4, None), (5, "two words")]
+    found = partenum._sets(spark.createDataFrame(rows, "id long, text string").coalesce(1), 5).select("id", "n").collect()
+    assert [tuple(r) for r in found] == [(1, 9), (1, 1), (2, 9), (5, 1)]
+
+
+def test_tasks_give_unused_memory_back(monkeypatch):
+    """At a task's end Arrow's pool is asked to let go what it holds in reserve for the worker's next task."""
+    asked = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: asked.append(1)})())
+    out = common.tidy(lambda batches: (b for b in batches))(iter([1, 2]))
+    assert next(out) == 1 and not asked
+    assert list(out) == [2] and asked == [1]
+
+
 # --- nearest neighbours
 
 
