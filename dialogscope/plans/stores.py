@@ -47,11 +47,9 @@ def nested_messages(spark, sf_dir):
 
 def configuration_errors(spark, sf_dir):
     """Each order as a configuration: its suppliers are providers and advisors, its customer's number names the patient's; low priority has no seed."""
-    # dealt by order once, for what is distinct, the lists and the join
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
-    s = F.concat(F.lit("s"), F.col("l_suppkey"))
-    # an order has seven lines at most
-    per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(s)).alias("s"))
+    # dealt by order once, for the sets and the join; the set of an order is what is distinct
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").repartition("l_orderkey")
+    per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(F.concat(F.lit("s"), "l_suppkey"))).alias("s"))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(per, "o_orderkey")
     text = F.concat(
         F.lit("providers:\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("  "), x, F.lit(": maker/"), x, F.lit("  # a supplier"))), "\n"),

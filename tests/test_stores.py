@@ -1,5 +1,6 @@
 import difflib
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,54 @@ def test_lines_of_configurations_are_shuffled_once(spark):
 
     plan = stores.configuration_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_suppliers_are_gathered_in_one_aggregate(spark):
+    from dialogscope.plans import stores
+
+    plan = stores.configuration_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate(") == 2  # its two halves
+
+
+def _steps(text):
+    """Calls made to read a document."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found, _ = documents.parsed(text)
+    finally:
+        sys.setprofile(None)
+    assert found is not None
+    return n
+
+
+@pytest.mark.parametrize(("line", "most"), [("  s%d: maker/s%d  # a supplier\n", 5), ("  s%d: { a: 0.7, b: %d }\n", 20), ("  s%d: a b c%d\n", 30)])
+def test_a_simple_line_takes_few_steps(line, most):
+    text = lambda n: "providers:\n" + "".join(line % (i, i) for i in range(n)) + "seed: 7\n"
+    _steps(text(10))  # compiles patterns
+    assert (_steps(text(110)) - _steps(text(10))) / 100 <= most
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a: b\n\n  \n# c\nd: e\n", "a: b\n   # c\nd: 1\n", "a:\n  b: 1\n\n  c: 2\nd:\n\n", "a: # b\n  c: d\ne:\nf: # g\n", "a: [b, 1, yes]\n  # c\nd: {e: .5, f: ~}", "a: |\n  b: c\nd: >\n  e: f\n",
+        "a: b c\nd: 'e'\nf: \"g\"  # h\ni: j k\n  l\n", "- a: 1\n  b:\n    c: d\n- e:\n  - f: g\n  h: 7\n", "a: b", "a:", "a:\n  b:\n    c:\n      d: e", "1o: 1\nk-1: -2\n1.x: 3\n\"q\": r\n", "a: [b, c]  # d\ne: { f: 1.5 }\n", "a: b#c\nd: e:f\n",
+    ],
+)
+def test_simple_lines_among_others_are_read_as_by_the_library(text):
+    yaml = pytest.importorskip("yaml")
+    found, error = documents.parsed(text)
+    assert error is None
+    assert json.loads(found) == yaml.safe_load(text)
+
+
+@pytest.mark.parametrize("text", ["a: b\na: c\n", "a: b # c\n  d\ne: f\n", "a: b\n  c: d\n", "a:\n    b: c\n  d: e\n", "a: [b]\n  c: d\n", "a: b\n- c\n", "  a: b\nc: d\n", "a: b: c\nd: e\n", "a: [b] c\nd: e\n"])
+def test_broken_lines_among_simple_ones_are_errors(text):
+    found, error = documents.parsed(text)
+    assert found is None and error
